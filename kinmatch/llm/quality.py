@@ -62,8 +62,11 @@ def add_statistics(df: DataFrame, text_col: str = "text", window: int = 5) -> Da
         "mark_share": F.col("_bang") / n,
         "digit_share": F.col("_digit") / chars,
     }
-    df = df.withColumn("stats", F.struct(*(c.alias(k) for k, c in figures.items())))
-    return df.drop("_w", "_n", "_m", "_k", "_p", "_t", "_l", "_upper", "_bang", "_digit", "_lines")
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    made = F.struct(*base, F.struct(*(c.alias(k) for k, c in figures.items())).alias("stats"))
+    # One row out for one in; a filter on a statistic is not pushed through, where it would be worked out again in each lambda.
+    df = df.withColumn("_s", F.explode(F.array(made)))
+    return df.drop("_w", "_n", "_m", "_k", "_p", "_t", "_l", "_upper", "_bang", "_digit", "_lines", *base).select("*", "_s.*").drop("_s")
 
 
 @dataclass(frozen=True)

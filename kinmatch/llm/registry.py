@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, language_id, licences, pii, quality, simhash, token_counts
+from . import byte_bpe, decontamination, language_id, licences, line_dedup, pii, quality, simhash, token_counts
 from .common import table
 
 
@@ -46,6 +46,14 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_removed, removed): how many lines of each document go, and their places, comma-joined."""
+    docs = table(spark, sf_dir, "documents")
+    gone = line_dedup.removals(docs)
+    out = docs.select("doc_id").join(gone, F.col("doc_id").eqNullSafe(F.col("doc")), "left")
+    return out.select("doc_id", F.greatest(F.size("places"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("places").cast("array<string>"), ","), F.lit("")).alias("removed"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~language_id.held_out()))
@@ -61,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
     "op7_licences": op7_licences,
+    "op8_line_dedup": op8_line_dedup,
     "op10_language_id": op10_language_id,
 }
 
