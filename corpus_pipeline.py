@@ -1,11 +1,65 @@
-"""Corpus pipeline; its stages follow as their operators do."""
+"""Corpus pipeline: quality rules, line dedup, SimHash near-dedup, benchmark decontamination, byte-level BPE.
 
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
+``documents``. Nulls, empty texts and repeated rows go through each stage as its operator states.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinmatch.llm import byte_bpe, decontamination, line_dedup, quality, simhash
+from kinmatch.llm.common import checkpoint, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or a learned rule rejects go."""
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).where("kept").select(docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of lines that repeat or nearly do the first stays; documents of which nothing is left go. n_chars follows the text."""
+    return line_dedup.deduplicate(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document of the smallest id stays, once. Rows without an id stay if a group has no other."""
+    groups = simhash.near_duplicates(docs)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(stay, docs.doc_id.eqNullSafe(stay["_id"]), "left_semi").dropDuplicates(["doc_id"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with an occurrence of a benchmark window go."""
+    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
+    return found.where("not contaminated").select(docs.columns)
+
+
+def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document left."""
+    return byte_bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup_stage),
+    ("simhash near-dedup", simhash_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("byte-level bpe", byte_bpe_stage),
+]
+
+#: The learned rules, the fingerprints and the token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage keeps is written to the shared checkpoint folder for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = checkpoint(docs)
     return docs
