@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(queries.Q)
+ORACLE_SQL: dict[str, str] = dict(queries.SQL)

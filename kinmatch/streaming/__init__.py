@@ -1 +1 @@
-
+"""No streaming operator is in scope: linkage here is a batch workload over whole tables."""
