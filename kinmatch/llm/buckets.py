@@ -24,6 +24,80 @@ def dealt(rows: DataFrame, member: str, most: int, also: str | None = None) -> D
     return met.withColumn("key", F.xxhash64("bucket", F.least("_own", "_met"), F.greatest("_own", "_met"))).drop("bucket", "parts", "_own", "_met")
 
 
+def met_once(rows: DataFrame, columns: list[str], work: Callable[[pa.Table], dict], most: int) -> DataFrame:
+    """``work`` on the buckets of rows(bucket, columns), met in one shuffle; gives (key, member) of what it holds.
+
+    ``work`` gets tables of whole buckets with ``key`` for bucket. A bucket of more than ``most`` rows is not worked on
+    where it is: as soon as it is seen to be larger its rows are passed on, and are dealt over pairs of parts afterwards.
+    """
+    member = columns[0]
+    fields = [("key", pa.int64()), *((c, ARROW[t]) for c, t in rows.select(*columns).dtypes), ("large", pa.bool_())]
+    arrow = pa.schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        large: int | None = None
+
+        def passed(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            whole = part.append_column("large", pa.array(np.ones(part.num_rows, bool)))
+            yield from whole.cast(arrow).combine_chunks().to_batches()
+
+        def made(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            if part.num_rows:
+                key = part.column(0).to_numpy()
+                # Only buckets of two rows or more matter, and those over the bound wait.
+                _, at, n = np.unique(key, return_index=True, return_counts=True)
+                size = np.repeat(n, n)
+                if (size > most).any():
+                    yield from passed(part.filter(pa.array(size > most)))
+                some = part.filter(pa.array((size > 1) & (size <= most)))
+                if some.num_rows:
+                    out = work(some)
+                    rest = {c: pa.nulls(len(out["key"]), t) for c, t in fields}
+                    rest |= {"key": pa.array(out["key"], pa.int64()), member: pa.array(out[member], pa.int64()), "large": pa.array(np.zeros(len(out["key"]), bool))}
+                    yield pa.RecordBatch.from_arrays([rest[c] for c, _ in fields], schema=arrow)
+
+        for batch in batches:
+            new = pa.Table.from_batches([batch]).rename_columns(["key", *columns])
+            if large is not None:
+                key = new.column(0).to_numpy()
+                end = int(np.searchsorted(key, large, side="right"))
+                yield from passed(new.slice(0, end))
+                new = new.slice(end)
+                if not new.num_rows:
+                    continue
+                large = None
+            held = new if held is None else pa.concat_tables([held, new])
+            key = held.column(0).to_numpy()
+            if not len(key):
+                continue
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            yield from made(held.slice(0, cut))
+            held = held.slice(cut).combine_chunks()
+            if held.num_rows > most:
+                large = int(key[-1])
+                yield from passed(held)
+                held = None
+        if held is not None:
+            yield from made(held)
+
+    spark_type = dict(rows.dtypes)
+    schema = ", ".join(["key long", *(f"{c} {spark_type[c]}" for c in columns), "large boolean"])
+    return rows.select("bucket", *columns).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+
+
+def members(rows: DataFrame, columns: list[str], work: Callable[[pa.Table], dict], most: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, member) of what ``work`` holds in all buckets, large ones too; ``keep`` stores a table that is read twice."""
+    member = columns[0]
+    first = keep(met_once(rows, columns, work, most))
+    large = dealt(first.where("large").drop("large").withColumnRenamed("key", "bucket"), member, most)
+    out = met(large, columns, work, f"key long, {member} long", pa.schema([("key", pa.int64()), (member, pa.int64())]))
+    return first.where("not large").select("key", member).unionByName(out)
+
+
 def met(rows: DataFrame, columns: list[str], work: Callable[[pa.Table], dict], schema: str, arrow: pa.Schema) -> DataFrame:
     """Brings the rows of a key together; ``work`` gets tables of whole keys, sorted by key, and gives columns."""
 

@@ -16,6 +16,7 @@ count as one document, of which each row keeps what the first keeps. A null id c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import Forest, close_pairs, dealt, met
+from .buckets import Forest, close_pairs, members, met
 from .common import checkpoint, connected_components
 
 BITMAP = 22  # bits of the number of a place in the bitmap of candidate lines: 4 M places, 512 KB
@@ -42,10 +43,16 @@ def line_id(line: str) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def histogram(line: str) -> int:
-    """Counts of 16 classes of characters, 4 bits each; an edit changes two of them by one at most."""
-    n = np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) & 15, minlength=16) & 15
-    return int((n.astype(np.uint64) << np.arange(0, 64, 4, dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
+def histograms(raws: list[bytes]) -> np.ndarray:
+    """Of each line, as four bytes a character: counts of 16 classes of characters, 4 bits each.
+
+    An edit changes two of them by one at most.
+    """
+    if not raws:
+        return np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(raws)), [len(r) // 4 for r in raws])
+    n = np.bincount(owner * 16 + (np.frombuffer(b"".join(raws), np.uint32) & 15), minlength=16 * len(raws)).reshape(-1, 16) & 15
+    return (n.astype(np.uint64) << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 def histogram_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,6 +64,7 @@ def histogram_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(1 << 16)
 def segments(n: int, parts: int) -> list[tuple[int, int]]:
     """(start, length) of an even partition, the shorter ones first."""
     short, longer = divmod(n, parts)
@@ -68,25 +76,23 @@ def segments(n: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(line: str, edits: int, min_chars: int) -> tuple[list[int], list[int]]:
-    """Buckets of the line's own segments, and those of substrings that may match a segment of another line."""
-    raw, n = line, len(line)
-    digest = xxhash.xxh3_64_intdigest
+def signatures(raw: bytes, n: int, edits: int, min_chars: int) -> tuple[list[int], list[int]]:
+    """Buckets of the line's own segments, and those of substrings that may match a segment of another line.
 
-    def bucket(size: int, i: int, part: str) -> int:
-        x = digest(part.encode(), (size << 4 | i) & 0xFFFFFFFF)
-        return x - (1 << 64) if x >> 63 else x
-
-    own = [bucket(n, i, raw[p : p + k]) for i, (p, k) in enumerate(segments(n, edits + 1))]
+    raw holds the n characters of the line as four bytes each, so that a substring is a slice.
+    """
+    digest = xxhash.xxh3_64_intdigest
+    own = [digest(raw[4 * p : 4 * (p + k)], n << 4 | i) for i, (p, k) in enumerate(segments(n, edits + 1))]
     probes = set()
     for size in range(max(min_chars, n - edits), n + 1):
         more = n - size
         for i, (p, k) in enumerate(segments(size, edits + 1)):
             low = max(0, p - i, p + more - (edits - i))
             high = min(n - k, p + i, p + more + (edits - i))
+            seed = size << 4 | i
             for q in range(low, high + 1):
-                probes.add(bucket(size, i, raw[q : q + k]))
-    return own, sorted(probes - set(own))
+                probes.add(digest(raw[4 * q : 4 * (q + k)], seed))
+    return own, list(probes.difference(own))
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -166,21 +172,32 @@ def bucket_rows(df: DataFrame, text_col: str, edits: int, min_chars: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            rows: list[tuple] = []
-            for t in batch.column(0).to_pylist():
-                for _, line in lines(t, min_chars):
-                    h, _ = line_id(line)
-                    if h not in seen:
+            for at in range(0, batch.num_rows, 256):
+                ids, raws, buckets, counts, own_counts = [], [], [], [], []
+                for t in batch.column(0).slice(at, 256).to_pylist():
+                    for _, line in lines(t, min_chars):
+                        h, _ = line_id(line)
+                        if h in seen:
+                            continue
                         if len(seen) >= 1_000_000:  # bounded; a line met again later is only dealt again
                             seen.clear()
                         seen.add(h)
-                        own, probes = signatures(line, edits, min_chars)
-                        more = (h, len(line), histogram(line))
-                        rows += [(x, *more, True) for x in own]
-                        rows += [(x, *more, False) for x in probes]
-            for at in range(0, len(rows), 1 << 16):
-                columns = list(zip(*rows[at : at + (1 << 16)], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], names=["bucket", "line", "size", "hist", "own"])
+                        raw = line.encode("utf-32-le")
+                        own, probes = signatures(raw, len(raw) // 4, edits, min_chars)
+                        ids.append(h)
+                        raws.append(raw)
+                        buckets += own
+                        buckets += probes
+                        counts.append(len(own) + len(probes))
+                        own_counts.append(len(own))
+                if ids:
+                    n = np.array(counts)
+                    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    columns = [
+                        np.array(buckets, np.uint64).view(np.int64), np.repeat(np.array(ids, np.int64), n), np.repeat(np.array([len(r) // 4 for r in raws], np.int32), n),
+                        np.repeat(histograms(raws).view(np.int64), n), place < np.repeat(np.array(own_counts), n),
+                    ]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "line", "size", "hist", "own"])
 
     return df.select(text_col).mapInArrow(run, "bucket long, line long, size int, hist long, own boolean")
 
@@ -211,7 +228,7 @@ def verified(edits: int):
         key, line = part.column("key").to_numpy(), part.column("line").to_numpy()
         texts = part.column("text").to_pylist()
         size = np.array([len(t) for t in texts])
-        hist = np.array([histogram(t) for t in texts], np.int64).view(np.uint64)
+        hist = histograms([t.encode("utf-32-le") for t in texts])
         order = np.lexsort((size, key))
         key, line, size, hist, texts = key[order], line[order], size[order], hist[order], [texts[i] for i in order]
         forest, a, b = Forest(len(key)), [], []
@@ -252,11 +269,10 @@ def candidate_texts(df: DataFrame, members: DataFrame, text_col: str, min_chars:
 
 def links(df: DataFrame, edits: int = 2, min_chars: int = 16, text_col: str = "text", most: int = 2048) -> DataFrame:
     """(a, b): hashes of lines within ``edits`` edits, enough to give the classes."""
-    rows = dealt(bucket_rows(df, text_col, edits, min_chars), "line", most, "bool_or(own) and min(line) <> max(line)")
-    pairs = pa.schema([("key", pa.int64()), ("line", pa.int64())])
-    members = checkpoint(met(rows, ["line", "size", "hist", "own"], partnered(edits), "key long, line long", pairs).distinct())
-    texts = candidate_texts(df, members.select("line").distinct(), text_col, min_chars)
-    together = members.join(texts, "line").select("key", "line", "text")
+    found = members(bucket_rows(df, text_col, edits, min_chars), ["line", "size", "hist", "own"], partnered(edits), most, checkpoint)
+    held = checkpoint(found.distinct())
+    texts = candidate_texts(df, held.select("line").distinct(), text_col, min_chars)
+    together = held.join(texts, "line").select("key", "line", "text")
     return met(together, ["line", "text"], verified(edits), "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import Forest, close_pairs, dealt, met
+from .buckets import Forest, close_pairs, members, met
 from .common import checkpoint, connected_components
 
 SHINGLE = 5
@@ -210,10 +210,9 @@ def deduplicate(df: DataFrame, span: int = 24, window: int = 24, n_bands: int =
     most_bits = allowed(similarity, span - SHINGLE + 1)
     # Near-copies: bands of distinct paragraphs.
     bucketed = paragraph_rows(df, ["p", *names, "sketch"], *how).distinct().select(F.explode(F.array(*names)).alias("bucket"), "p", "sketch")
-    pairs = pa.schema([("key", pa.int64()), ("p", pa.int64())])
-    members = checkpoint(met(dealt(bucketed, "p", most), ["p", "sketch"], partnered(most_bits), "key long, p long", pairs).distinct())
-    shingles = candidate_shingles(df, members.select("p").distinct(), text_col, span, window)
-    links = met(members.join(shingles, "p"), ["p", "shingles"], verified(similarity, most_bits), "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    held = checkpoint(members(bucketed, ["p", "sketch"], partnered(most_bits), most, checkpoint).distinct())
+    shingles = candidate_shingles(df, held.select("p").distinct(), text_col, span, window)
+    links = met(held.join(shingles, "p"), ["p", "shingles"], verified(similarity, most_bits), "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
     component = connected_components(links)
     # Classes of more than one place, each with its first.
     classed = distinct.select("p", "first", "n").join(component, F.col("p") == F.col("node"), "left").where("n > 1 or component is not null").select("p", "first", "component")
