@@ -55,22 +55,26 @@ def token_set(a: str, b: str) -> float:
     return max(best, ratio(both, join(left)), ratio(both, join(right))) if both else best
 
 
-def partial(a: str, b: str) -> float:
-    """The best ratio of the shorter string with a window of the longer of its length, or shorter at the edges."""
-    if not a or not b:
-        return 100.0 if a == b else 0.0
-    if len(a) > len(b):
-        a, b = b, a
-    n, letters = len(a), set(a)
-    best = 0.0
+def best_window(a: str, b: str) -> float:
+    """The best ratio of a with a window of b of its length, or shorter at the edges."""
+    n, letters, best = len(a), set(a), 0.0
     for at in range(1 - n, len(b)):
         low, high = max(0, at), min(len(b), at + n)
-        # A best window ends and begins with characters of the shorter string, unless it stands at an edge.
-        if (b[high - 1] in letters if low == 0 else b[low] in letters) and (bound := 200.0 * (high - low) / (n + high - low)) > best:
+        # A best window begins, or at the left edge ends, with a character of a.
+        if b[low if low else high - 1] in letters and 200.0 * (high - low) / (n + high - low) > best:
             best = max(best, ratio(a, b[low:high]))
             if best == 100.0:
                 break
-    return max(best, partial(b, a)) if len(a) == len(b) and a > b else best
+    return best
+
+
+def partial(a: str, b: str) -> float:
+    """The best ratio of the shorter string with a window of the longer; of equal lengths, the better way round."""
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    if len(a) == len(b):
+        return max(best_window(a, b), best_window(b, a))
+    return best_window(*sorted((a, b), key=len))
 
 
 def partial_token(a: str, b: str) -> float:
