@@ -160,15 +160,29 @@ def trigrams(c: Column) -> Column:
     return F.when(F.length(c) >= 3, F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, 3))).otherwise(F.array().cast("array<string>"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body or its lambdas name it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def once(value: Column) -> Column:
+    """The value as the one row of a generator: filters on it are not pushed below, where it would be worked out again."""
+    return F.explode(F.array(value))
+
+
 def trigram_cosine(a: Column, b: Column) -> Column:
     """Cosine of trigram counts; equal strings 1, an empty one 0, shorter than 3 only if equal."""
 
-    def count(grams: Column, g: Column) -> Column:
-        return F.size(F.filter(grams, lambda x: x == g))
+    def pairs(x: Column, y: Column) -> Column:
+        """How many pairs of equal trigrams, one of each side."""
+        return F.aggregate(x, F.lit(0.0), lambda s, g: s + F.size(F.filter(y, lambda h: h == g)))
+
+    def cosine(q: Column) -> Column:
+        return pairs(q["x"], q["y"]) / (F.sqrt(pairs(q["x"], q["x"])) * F.sqrt(pairs(q["y"], q["y"])))
 
-    def norm(grams: Column) -> Column:
-        return F.sqrt(F.aggregate(F.transform(grams, lambda g: count(grams, g)), F.lit(0.0), lambda s, n: s + n))
+    def value(t: Column) -> Column:
+        a, b = t["a"], t["b"]
+        full = let(F.struct(trigrams(a).alias("x"), trigrams(b).alias("y")), cosine)
+        return F.when((a == "") | (b == ""), F.lit(0.0)).when(a == b, F.lit(1.0)).when((F.length(a) < 3) | (F.length(b) < 3), F.lit(0.0)).otherwise(full)
 
-    x, y = trigrams(a), trigrams(b)
-    dot = F.aggregate(F.transform(x, lambda g: count(y, g)), F.lit(0.0), lambda s, n: s + n)
-    return F.when((a == "") | (b == ""), F.lit(0.0)).when(a == b, F.lit(1.0)).when((F.length(a) < 3) | (F.length(b) < 3), F.lit(0.0)).otherwise(dot / (norm(x) * norm(y)))
+    return let(F.struct(a.alias("a"), b.alias("b")), value)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.kernels import once
 from ..operators import assign, blocking, features, learn, metrics, scoring
 
 
@@ -39,7 +40,7 @@ def minimum(s1: DataFrame, pool: DataFrame, threshold: float = 0.5) -> Linkage:
     c = blocking.key_pairs(s1, pool, keys).select("s1_id", "t_id", "src", "ord").distinct()
     p = features.join_sides(c, s1, pool)
     score = F.round(scoring.trigram_score(*(X.clean_legal(x) for x in ("n1", "a1", "n2", "a2"))), 6)
-    scored = ranked_by_s1(p.select("s1_id", "t_id", "src", "ord", score.alias("score")), s1)
+    scored = ranked_by_s1(p.select("s1_id", "t_id", "src", "ord", once(score).alias("score")), s1)
     return Linkage(c, scored, assign.claims(scored, threshold, ("s1_ord",)))
 
 
@@ -47,7 +48,7 @@ def method1(s1: DataFrame, pool: DataFrame, threshold: float = 0.7) -> Linkage:
     """TF-IDF candidates, trigram score, threshold alone."""
     c = blocking.tfidf_topk(s1, pool)
     p = features.join_sides(c.drop("score"), s1, pool)
-    scored = p.select("s1_id", "t_id", "src", "ord", F.round(scoring.trigram_score(*(F.col(x) for x in ("n1", "a1", "n2", "a2"))), 6).alias("score"))
+    scored = p.select("s1_id", "t_id", "src", "ord", once(F.round(scoring.trigram_score(*(F.col(x) for x in ("n1", "a1", "n2", "a2"))), 6)).alias("score"))
     return Linkage(c, scored, assign.at_least(scored, threshold))
 
 

@@ -15,7 +15,7 @@ ENT = """
 ent0 AS (
   SELECT 1 AS src, s_suppkey AS key, s_nationkey AS k, replace(s_name, '#', ' ') AS name, 'supply depot' AS kind FROM supplier
   UNION ALL SELECT 2, c_custkey, c_nationkey, replace(c_name, '#', ' '), c_mktsegment || ' depot' FROM customer
-  UNION ALL SELECT 3, p_partkey, CAST(p_partkey % 25 AS INT), p_name || ' Supplier Co Ltd ' || p_brand, p_type || ' store' FROM part),
+  UNION ALL SELECT 3, p_partkey, CAST(p_partkey % 25 AS INT), 'Supplier Co Ltd ' || p_name || ' ' || p_brand, p_type || ' store' FROM part),
 ent AS (
   SELECT 'S' || src || '-' || key AS entity_id, src, n_name AS country, name,
          lpad(CAST(key AS VARCHAR), CAST(greatest(5, length(CAST(key AS VARCHAR))) AS INT), '0') || ' ' || kind || ' ' || n_name AS addr, CAST(key AS BIGINT) AS ord

@@ -110,7 +110,7 @@ def star_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read("nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("country"))
     s = read("supplier").select(F.lit(1).alias("src"), F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("k"), F.translate("s_name", "#", " ").alias("name"), F.lit("supply depot").alias("kind"))
     c = read("customer").select(F.lit(2).alias("src"), F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("k"), F.translate("c_name", "#", " ").alias("name"), F.concat(F.col("c_mktsegment"), F.lit(" depot")).alias("kind"))
-    p = read("part").select(F.lit(3).alias("src"), F.col("p_partkey").alias("key"), (F.col("p_partkey") % 25).cast("int").alias("k"), F.concat("p_name", F.lit(" Supplier Co Ltd "), "p_brand").alias("name"), F.concat("p_type", F.lit(" store")).alias("kind"))
+    p = read("part").select(F.lit(3).alias("src"), F.col("p_partkey").alias("key"), (F.col("p_partkey") % 25).cast("int").alias("k"), F.concat(F.lit("Supplier Co Ltd "), "p_name", F.lit(" "), "p_brand").alias("name"), F.concat("p_type", F.lit(" store")).alias("kind"))
     every = s.unionByName(c).unionByName(p).join(F.broadcast(nation), "k")  # 25 nations
     return every.select(
         F.concat(F.lit("S"), "src", F.lit("-"), "key").alias("entity_id"), "src", "country", "name",
