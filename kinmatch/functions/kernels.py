@@ -175,7 +175,7 @@ def trigram_cosine(a: Column, b: Column) -> Column:
 
     def pairs(x: Column, y: Column) -> Column:
         """How many pairs of equal trigrams, one of each side."""
-        return F.aggregate(x, F.lit(0.0), lambda s, g: s + F.size(F.filter(y, lambda h: h == g)))
+        return F.aggregate(x, F.lit(0.0), lambda s, g: s + F.size(y) - F.size(F.array_remove(y, g)))
 
     def cosine(q: Column) -> Column:
         return pairs(q["x"], q["y"]) / (F.sqrt(pairs(q["x"], q["x"])) * F.sqrt(pairs(q["y"], q["y"])))
