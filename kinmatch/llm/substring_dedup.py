@@ -41,8 +41,9 @@ def word_hashes(text: str | None) -> np.ndarray:
     try:
         return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        for w in set(words) - _WORDS.keys():
-            _WORDS[w] = xxhash.xxh3_64_intdigest(w)
+        for w in words:  # a difference with the cache's keys would go through all of the cache
+            if w not in _WORDS:
+                _WORDS[w] = xxhash.xxh3_64_intdigest(w)
         out = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
         for w in [w for w in set(words) if len(w) > 64]:
             del _WORDS[w]
