@@ -1,16 +1,22 @@
-"""Substring deduplication by paragraph MinHash banding.
+"""Substring deduplication by paragraph MinHash banding, with seeds that carry a match to its ends.
 
-A paragraph is a run of ``span`` words; paragraphs begin where a word window's least shingle hash lies (winnowing), so
-that two texts that share ``span + window + 3`` words share a paragraph wherever the passage stands in them (unless a
-chain of ever smaller hashes leads out of it). A shorter text is one paragraph. Equal paragraphs are merged by hash. The rest are joined on bands of MinHash values of their
+A paragraph is a run of ``span`` words; paragraphs begin where a word window's least shingle hash lies (winnowing). A shorter
+text is one paragraph. Equal paragraphs are merged by hash. The rest are joined on bands of MinHash values of their
 five-word shingles; colliding paragraphs whose 64-bit sketches allow a Jaccard similarity of 0.8 are brought together with
-their shingles and verified exactly. From a bucket come the links of a forest; components give the classes. Of each class
-the first paragraph by document id and place stays, the words of the others are removals.
-
-With two bands of two values a pair at similarity 0.8 collides with probability 0.87, and a near-copied passage has many
-paragraphs; equal paragraphs are always found. Words are what white space parts, A-Z in lower case. Texts of under five
-words, null ones too, have no paragraph. Rows that repeat an id count as one document; rows with a null id have a row in the
-result and no class.
+their shingles and verified exactly. From a bucket come the links of a forest; components give the classes.
+
+Seeds are runs of ``SEED`` words, winnowed so that any 24 words that two texts share hold a seed of both. A passage of over
+50 words and its near-copy (five-word Jaccard of 0.8 or more) have 24 words on end in common, so they share a seed. From
+the outer seeds of a text's matches the shingles up to ``REACH`` words away are looked up among those at the same distance
+of the same seed elsewhere. So a match goes on to its ends, and past changed words. Matched words on end with a paragraph
+among them stay as they are; beside those a passage counts if it has over 50 words, 24 matched ones on end, and 0.8 of
+its shingles by Jaccard matched; changed words in it belong to it. A near-copied paragraph is whole, up to two of its words
+at an end may be others.
+
+Of each class the first place by document id and place stays, the words of the others are removals; changed words go with
+those at both sides. A pair of paragraphs at similarity 0.8 collides with probability 0.87 (two bands of two values).
+Words are what white space parts, A-Z in lower case. Texts of under five words, null ones too, have no paragraph. Rows that
+repeat an id count as one document; rows with a null id have a row in the result and no class.
 """
 
 from __future__ import annotations
@@ -27,6 +33,10 @@ from .buckets import Forest, close_pairs, members, met
 from .common import checkpoint, connected_components
 
 SHINGLE = 5
+SEED = 12
+LEAST = 24  # words on end in which two texts that share them have a common seed
+LONG = 50  # a near-copied passage has more words
+REACH = 48  # words on either side of a seed that are looked up
 BITMAP = 24  # bits of the number of a place in the bitmap of candidates: 16 M places, 2 MB
 ODD = np.random.RandomState(11).randint(0, 2**32, (64, 2), dtype=np.uint64) @ np.array([1 << 32, 1], np.uint64) | np.uint64(1)
 
@@ -55,18 +65,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def paragraphs(text: str | None, span: int, window: int, near: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(places, shingles): where paragraphs begin, and a row of shingle hashes for each."""
+def extreme(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+    """The extreme of every window of that width, by doubling."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = of(x[: len(x) - step], x[step:])
+        done += step
+    return x
+
+
+def winnowed(s: np.ndarray, window: int) -> np.ndarray:
+    """Places of a least value of any window."""
+    window = min(window, len(s))
+    least = extreme(s, window, np.minimum)
+    edge = np.zeros(window - 1, np.uint64)
+    return np.flatnonzero(extreme(np.concatenate([edge, least, edge]), window, np.maximum) == s)
+
+
+def shingles_of(text: str | None) -> np.ndarray:
+    """The hash of each run of ``SHINGLE`` words."""
     w = word_hashes(text)
     n = len(w)
     if n < SHINGLE:
+        return np.zeros(0, np.uint64)
+    return mixed(sum((w[k : n - SHINGLE + 1 + k] * ODD[k] for k in range(SHINGLE)), np.uint64(0)))
+
+
+def paragraphs(text: str | None, span: int, window: int, near: int = 2, s: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, shingles): where paragraphs begin, and a row of shingle hashes for each."""
+    s = shingles_of(text) if s is None else s
+    if not len(s):
         return np.zeros(0, np.int64), np.zeros((0, 1), np.uint64)
-    s = mixed(sum((w[k : n - SHINGLE + 1 + k] * ODD[k] for k in range(SHINGLE)), np.uint64(0)))
-    width = min(span, n) - SHINGLE + 1
-    starts = n - min(span, n) + 1
-    reach = min(window, starts)
-    views = np.lib.stride_tricks.sliding_window_view(s[:starts], reach)
-    at = np.unique(np.concatenate([views[k : k + (1 << 15)].argmin(axis=1) + np.arange(k, min(k + (1 << 15), len(views))) for k in range(0, len(views), 1 << 15)]))
+    width = min(span - SHINGLE + 1, len(s))
+    at = winnowed(s[: len(s) - width + 1], window)
     # Paragraphs shifted by a few words are near-copies of each other: of beginnings so close the least hash stays.
     drop = np.zeros(len(at), bool)
     for k in range(1, near + 1):
@@ -79,6 +111,15 @@ def paragraphs(text: str | None, span: int, window: int, near: int = 2) -> tuple
     return at, s[at[:, None] + np.arange(width)]
 
 
+def seeds(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, ids) of the seeds of a text's shingles."""
+    width = SEED - SHINGLE + 1
+    if len(s) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = winnowed(s[: len(s) - width + 1], LEAST - SEED + 1)
+    return at, paragraph_ids(s[at[:, None] + np.arange(width)]) ^ 0x5EED
+
+
 def paragraph_ids(shingles: np.ndarray) -> np.ndarray:
     factors = np.resize(ODD[8:40], shingles.shape[1]) * np.arange(1, 2 * shingles.shape[1], 2, dtype=np.uint64)
     return mixed((shingles * factors).sum(axis=1, dtype=np.uint64)).view(np.int64)
@@ -99,7 +140,7 @@ def sketches(shingles: np.ndarray) -> np.ndarray:
 
 
 def paragraph_rows(df: DataFrame, columns: list[str], id_col: str, text_col: str, span: int, window: int, n_bands: int, band_rows: int) -> DataFrame:
-    """The given ones of (p, doc, at, size, b0.., sketch) for every paragraph."""
+    """The given ones of (p, doc, at, size, b0.., sketch) for every paragraph; without the sketch for every seed too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,13 +148,16 @@ def paragraph_rows(df: DataFrame, columns: list[str], id_col: str, text_col: str
                 part = batch.slice(low, 512)
                 out: dict[str, list] = {c: [] for c in columns}
                 for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    at, sh = paragraphs(t, span, window)
-                    if d is None or not len(at):
+                    if d is None:
+                        continue
+                    s = shingles_of(t)
+                    at, sh = paragraphs(t, span, window, s=s)
+                    if not len(at):
                         continue
                     made = {"p": paragraph_ids(sh)}
                     if "doc" in out:
-                        made |= {"doc": np.full(len(at), d), "at": at}
-                        made["size"] = np.full(len(at), sh.shape[1] + SHINGLE - 1)
+                        seed_at, seed = seeds(s)
+                        made = {"p": np.concatenate([made["p"], seed]), "doc": np.full(len(at) + len(seed), d), "at": np.concatenate([at, seed_at])}
                     if "sketch" in out:
                         found = bands(sh, n_bands, band_rows)
                         made |= {f"b{k}": found[:, k] for k in range(n_bands)} | {"sketch": sketches(sh)}
@@ -172,14 +216,25 @@ def verified(similarity: float, most_bits: int):
     return work
 
 
-def candidate_shingles(df: DataFrame, members: DataFrame, text_col: str, span: int, window: int) -> DataFrame:
-    """(p, shingles) of paragraphs whose hash has its bit in a bitmap of fixed size made from members(p)."""
+def bitmap(rows: DataFrame, column: str):
+    """A broadcast bitmap of fixed size with the bit of each value of a column."""
     mask = (1 << BITMAP) - 1
-    words = members.select(F.shiftright(F.col("p").bitwiseAND(mask), 6).alias("w"), F.expr(f"shiftleft(1L, cast((p & {mask}) & 63 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).collect()
+    p = F.col(column)
+    words = rows.select(F.shiftright(p.bitwiseAND(mask), 6).alias("w"), F.expr(f"shiftleft(1L, cast(({column} & {mask}) & 63 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).collect()
     bits = np.zeros(1 << (BITMAP - 6), np.int64)
     for w, v in words:
         bits[w] = v
-    shared = df.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+    return rows.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+
+def marked(marks: np.ndarray, p: np.ndarray) -> np.ndarray:
+    k = p & ((1 << BITMAP) - 1)
+    return (marks[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def candidate_shingles(df: DataFrame, members: DataFrame, text_col: str, span: int, window: int) -> DataFrame:
+    """(p, shingles) of paragraphs whose hash has its bit in a bitmap of fixed size made from members(p)."""
+    shared = bitmap(members, "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
@@ -189,25 +244,165 @@ def candidate_shingles(df: DataFrame, members: DataFrame, text_col: str, span: i
                 at, sh = paragraphs(t, span, window)
                 if len(at):
                     p = paragraph_ids(sh)
-                    k = p & mask
-                    for i in np.flatnonzero(marks[k >> 3] >> (k & 7).astype(np.uint8) & 1).tolist():
+                    for i in np.flatnonzero(marked(marks, p)).tolist():
                         found[int(p[i])] = sh[i].tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["p", "shingles"])
 
     return df.select(text_col).mapInArrow(run, "p long, shingles binary").groupBy("p").agg(F.first("shingles").alias("shingles"))
 
 
+def looked_up(p: np.ndarray, at: np.ndarray, steps: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places) of the shingles at the given distances from seeds, where there are such; steps has a row for each seed."""
+    place = at[:, None] + steps
+    inside = (place >= 0) & (place < len(s))
+    place, step = place[inside], np.broadcast_to(steps, inside.shape)[inside]
+    owner = np.broadcast_to(p[:, None], inside.shape)[inside].view(np.uint64)
+    return mixed(owner * ODD[5] + step.astype(np.uint64) * ODD[6] + s[place] * ODD[7]).view(np.int64), place
+
+
+def matched_rows(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, span: int, window: int) -> DataFrame:
+    """(p, doc, at, size) of paragraphs and seeds with their bit in the bitmap of classes(p); else ``keys``: packed bits of keys to look up."""
+    shared = bitmap(classes, "p")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
+        around = np.arange(1, REACH + 1)
+        for part in (batch.slice(low, 128) for batch in batches for low in range(0, batch.num_rows, 128)):
+            out: list[list] = [[], [], [], []]
+            keys = [np.zeros(0, np.int64)]
+            for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if d is None:
+                    continue
+                s = shingles_of(t)
+                at, sh = paragraphs(t, span, window, s=s)
+                if not len(at):
+                    continue
+                p = paragraph_ids(sh)
+                seed_at, seed = seeds(s)
+                a, b = marked(marks, p), marked(marks, seed)
+                at, p, seed_at, seed = at[a], p[a], seed_at[b], seed[b]
+                if len(seed):  # the outer seeds of runs of seeds that overlap or meet
+                    parted = seed_at[1:] > seed_at[:-1] + SEED
+                    left, right = np.concatenate([[True], parted]), np.concatenate([parted, [True]])
+                    found = [looked_up(seed[left], seed_at[left], -around[None, :], s), looked_up(seed[right], seed_at[right], around[None, :] + SEED - SHINGLE, s)]
+                    inner = np.zeros(len(s), bool)  # shingles that seeds hold need no look
+                    inner[seed_at[:, None] + np.arange(SEED - SHINGLE + 1)] = True
+                    keys += [key[~inner[place]] & ((1 << BITMAP) - 1) for key, place in found]
+                n = len(p) + len(seed)
+                for c, x in zip(out, (np.concatenate([p, seed]), np.full(n, d), np.concatenate([at, seed_at]), np.repeat([sh.shape[1] + SHINGLE - 1, SEED], [len(p), len(seed)])), strict=True):
+                    c.append(x)
+            columns = [pa.array([*np.concatenate([np.zeros(0, np.int64), *c]).tolist(), None], pa.int64()) for c in out]
+            packed = np.unique(np.concatenate(keys)).astype(np.uint32).tobytes()
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([None] * (len(columns[0]) - 1) + [packed], pa.binary())], names=["p", "doc", "at", "size", "keys"])
+
+    return df.select(id_col, text_col).mapInArrow(run, "p long, doc long, at long, size long, keys binary")
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """(p) of the packed keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.uint32).astype(np.int64))], names=["p"])
+
+    return rows.where("keys is not null").select("keys").mapInArrow(run, "p long")
+
+
+def extensions(df: DataFrame, classes: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(p, doc, at) of shingles about seeds of classes(p) whose key has its bit in the bitmap of keys(p)."""
+    shared, wanted = bitmap(classes, "p"), bitmap(keys, "p")
+    steps = np.concatenate([np.arange(-REACH, 0), np.arange(1, REACH + 1) + SEED - SHINGLE])[None, :]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, want = shared.value, wanted.value
+        for part in (batch.slice(low, 128) for batch in batches for low in range(0, batch.num_rows, 128)):
+            out: list[list] = [[], [], []]
+            for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if d is None:
+                    continue
+                s = shingles_of(t)
+                at, p = seeds(s)
+                b = marked(marks, p)
+                at, p = at[b], p[b]
+                for k in range(0, len(p), 2048):
+                    key, place = looked_up(p[k : k + 2048], at[k : k + 2048], steps, s)
+                    b = marked(want, key)
+                    for c, x in zip(out, (key[b], np.full(int(b.sum()), d), place[b]), strict=True):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], names=["p", "doc", "at"])
+
+    return df.select(id_col, text_col).mapInArrow(run, "p long, doc long, at long")
+
+
+def passages(at: np.ndarray, to: np.ndarray, core: np.ndarray, gone: np.ndarray, similarity: float) -> tuple[list, list, np.ndarray]:
+    """(repeated, removed, used): intervals of a document's words, and which of its places stand behind them."""
+    low = int(at.min())
+    n = int(to.max()) - low
+    at, to = at - low, to - low
+
+    def covered(which: np.ndarray) -> np.ndarray:
+        return np.cumsum(np.bincount(at[which], minlength=n + 1) - np.bincount(to[which], minlength=n + 1))[:n] > 0
+
+    def intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+        return edge[::2], edge[1::2]
+
+    held, out = covered(np.ones(len(at), bool)), covered(gone)
+    a, b = intervals(held)
+    solid = np.bincount(np.searchsorted(a, at, side="right") - 1, core, len(a)) > 0
+    lost = np.concatenate([[0], np.cumsum(a[1:] - b[:-1] + SHINGLE - 1)])
+    long = np.concatenate([[0], np.cumsum(b - a >= LEAST)])
+    kept = np.zeros(n, bool)
+    for i in range(len(a)):
+        if solid[i]:
+            kept[a[i] : b[i]] = True
+        size, miss = b[i:] - a[i], lost[i:] - lost[i]
+        total = size - SHINGLE + 1
+        fits = np.flatnonzero((size > LONG) & (long[i + 1 :] > long[i]) & (total - miss >= similarity * (total + miss) - 1e-9))
+        if len(fits):
+            kept[a[i] : b[i + fits[-1]]] = True
+    for x, y in zip(b[:-1].tolist(), a[1:].tolist(), strict=True):  # changed words go with both sides
+        if kept[x] and out[x - 1] and out[y]:
+            out[x:y] = True
+    return [(x + low, y + low) for x, y in zip(*map(np.ndarray.tolist, intervals(kept)), strict=True)], [(x + low, y + low) for x, y in zip(*map(np.ndarray.tolist, intervals(kept & out)), strict=True)], kept[at]
+
+
+def assembled(per_doc: DataFrame, similarity: float) -> DataFrame:
+    """(doc, r, g, removed, heads) from doc, places(at, to, core, gone, head)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"doc": [], "r": [], "g": [], "removed": [], "heads": []}
+            lists = batch.column(1)
+            for k, d in enumerate(batch.column(0).to_pylist()):
+                x = lists[k].values
+                at, to, head = (x.field(c).to_numpy() for c in ("at", "to", "head"))
+                core, gone = (x.field(c).to_numpy(zero_copy_only=False) for c in ("core", "gone"))
+                whole, less, used = passages(at, to, core, gone, similarity)
+                if whole:
+                    out["doc"].append(d)
+                    out["r"].append(sum(y - x for x, y in whole))
+                    out["g"].append(sum(y - x for x, y in less))
+                    out["removed"].append(",".join(f"{x}:{y}" for x, y in less))
+                    out["heads"].append(np.unique(head[used]))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, c) for v, c in zip(out.values(), types, strict=True)], names=list(out))
+
+    return per_doc.select("doc", "places").mapInArrow(run, "doc long, r long, g long, removed string, heads array<long>")
+
+
 def deduplicate(df: DataFrame, span: int = 24, window: int = 24, n_bands: int = 2, band_rows: int = 2, similarity: float = 0.8, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id, n_repeat_words, n_removed_words, removed) for every row of df.
 
-    component_id is the smallest id reachable through shared paragraphs; n_repeat_words counts words in paragraphs whose
-    class has more than one place, n_removed_words those of them that are not in a class's first; removed lists the latter
-    as first:last words from 0, last exclusive, comma-joined.
+    component_id is the smallest id reachable through shared passages; n_repeat_words counts words in passages that have
+    more than one place, n_removed_words those of them that are not in a class's first; removed lists the latter as
+    first:last words from 0, last exclusive, comma-joined.
     """
     how = (id_col, text_col, span, window, n_bands, band_rows)
     names = [f"b{k}" for k in range(n_bands)]
-    full = paragraph_rows(df, ["p", "doc", "at", "size", *names, "sketch"], *how)
-    distinct = full.groupBy("p").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in (*names, "sketch")))
+    full = paragraph_rows(df, ["p", "doc", "at"], *how)
+    distinct = full.groupBy("p").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
     most_bits = allowed(similarity, span - SHINGLE + 1)
     # Near-copies: bands of distinct paragraphs.
     bucketed = paragraph_rows(df, ["p", *names, "sketch"], *how).distinct().select(F.explode(F.array(*names)).alias("bucket"), "p", "sketch")
@@ -216,24 +411,22 @@ def deduplicate(df: DataFrame, span: int = 24, window: int = 24, n_bands: int =
     links = met(held.join(shingles, "p"), ["p", "shingles"], verified(similarity, most_bits), "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
     component = connected_components(links)
     # Classes of more than one place, each with its first.
-    classed = distinct.select("p", "first", "n").join(component, F.col("p") == F.col("node"), "left").where("n > 1 or component is not null").select("p", "first", "component")
+    classed = checkpoint(distinct.join(component, F.col("p") == F.col("node"), "left").where("n > 1 or component is not null").select("p", "first", "component"))
     linked = classed.where("component is not null")
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
     classes = checkpoint(classed.where("component is null").select("p", F.col("first").alias("head")).unionByName(linked.join(heads, "component").select("p", "head")))
-    places = paragraph_rows(df, ["p", "doc", "at", "size"], *how).join(classes, "p").select("doc", "at", "size", "head").distinct()
-    per_doc = places.groupBy("doc").agg(  # a document's own paragraphs, and the few documents it repeats
-        F.sort_array(F.collect_list(F.struct("at", (F.col("at") + F.col("size")).alias("to"), (~((F.col("doc") == F.col("head.doc")) & (F.col("at") == F.col("head.at")))).alias("gone")))).alias("places"),
-        F.collect_set("head.doc").alias("heads"),
-    )
-    per_doc = checkpoint(per_doc)
-    groups = connected_components(per_doc.select(F.col("doc").alias("a"), F.explode("heads").alias("b")))
-    merged = (
-        "aggregate({0}, cast(array() as array<struct<at: bigint, to: bigint>>), (s, m) -> if(size(s) > 0 and element_at(s, -1).to >= m.at, "
-        "array_append(slice(s, 1, size(s) - 1), named_struct('at', element_at(s, -1).at, 'to', greatest(element_at(s, -1).to, m.to))), array_append(s, named_struct('at', m.at, 'to', m.to))))"
-    )
-    found = per_doc.select("doc", F.expr(merged.format("places")).alias("all"), F.expr(merged.format("filter(places, m -> m.gone)")).alias("gone"))
-    total = "aggregate({0}, 0L, (s, m) -> s + m.to - m.at)"
-    found = found.join(groups, found.doc == groups.node, "left").select("doc", "component", F.expr(total.format("all")).alias("r"), F.expr(total.format("gone")).alias("g"), F.expr("array_join(transform(gone, m -> m.at || ':' || m.to), ',')").alias("removed"))
+    rows = checkpoint(matched_rows(df, classes, id_col, text_col, span, window))
+    more = extensions(df, classes, unpacked(rows), id_col, text_col).repartition("p")
+    here = F.struct("doc", "at")
+    again = more.groupBy("p").agg(F.min(here).alias("head"), F.max(here).alias("last")).where("head <> last").select("p", "head")
+    places = rows.where("keys is null").join(classes, "p").select("doc", "at", "size", "head", (F.col("size") != SEED).alias("core"))
+    places = places.unionByName(more.join(again, "p").select("doc", "at", F.lit(SHINGLE).cast("long").alias("size"), "head", F.lit(False).alias("core")))
+    gone = ~((F.col("doc") == F.col("head.doc")) & (F.col("at") == F.col("head.at")))
+    places = places.groupBy("doc", "at", "size", "core").agg(F.max(gone).alias("gone"), F.min("head.doc").alias("head"))
+    per_doc = places.groupBy("doc").agg(F.collect_list(F.struct("at", (F.col("at") + F.col("size")).alias("to"), "core", "gone", "head")).alias("places"))  # a document's own places
+    found = checkpoint(assembled(per_doc, similarity))
+    groups = connected_components(found.select(F.col("doc").alias("a"), F.explode("heads").alias("b")))
+    found = found.join(groups, found.doc == groups.node, "left").select("doc", "component", "r", "g", "removed")
     out = df.select(F.col(id_col).alias("_id")).join(found, F.col("_id") == found.doc, "left")
     return out.select(
         F.col("_id").alias(id_col),

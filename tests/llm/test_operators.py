@@ -331,6 +331,38 @@ def test_substring_dedup(docs, rows, empty, most):
     assert clean and all(found[i].component_id == i and found[i].n_removed_words == 0 for i in clean)
 
 
+def test_repeats_and_near_copies_are_found_whole(spark):
+    r = random.Random(21)
+    fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    texts, spots, edited = [], {}, []
+    for k in range(120):
+        size, n_edits = ((51, 0), (60, 0), (100, 0))[k % 3]
+        one = fresh(size)
+        two = list(one)
+        for at in r.sample(range(5, size - 5), n_edits):
+            two[at] = f"x{k}x{at}"
+        if len(w5(one) & w5(two)) < 0.8 * len(w5(one) | w5(two)):
+            continue
+        before = [fresh(r.randint(0, 60)) for _ in range(2)]
+        for p, b in zip((one, two), before, strict=True):
+            spots[len(texts)] = (len(b), len(b) + size, len(texts) % 2)
+            texts.append(" ".join(b + p + fresh(r.randint(0, 60))))
+        edited.append(n_edits)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in substring_dedup.deduplicate(df).collect():
+        low, high, second = spots[x.doc_id]
+        assert x.component_id == x.doc_id - second
+        assert high - low <= x.n_repeat_words <= high - low + 4 and (x.n_removed_words, bool(x.removed)) == (second * x.n_repeat_words, bool(second))
+        if second:  # a near-copied paragraph may go up to two words past an end
+            a, b = map(int, x.removed.split(":"))
+            assert low - 2 <= a <= low and high <= b <= high + 2
+    assert edited.count(0) == 120
+
+
+def w5(w):
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
 def test_components(spark):
     r = random.Random(6)
     for n in (0, 40):
