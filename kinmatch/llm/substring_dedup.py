@@ -14,7 +14,7 @@ its shingles by Jaccard matched; changed words in it belong to it. A near-copied
 at an end may be others.
 
 Of each class the first place by document id and place stays, the words of the others are removals; changed words go with
-those at both sides. A pair of paragraphs at similarity 0.8 collides with probability 0.87 (two bands of two values).
+those at both sides. A pair of paragraphs at similarity 0.8 collides with probability 0.998 (six bands of two values).
 Words are what white space parts, A-Z in lower case. Texts of under five words, null ones too, have no paragraph. Rows that
 repeat an id count as one document; rows with a null id have a row in the result and no class.
 """
@@ -392,7 +392,7 @@ def assembled(per_doc: DataFrame, similarity: float) -> DataFrame:
     return per_doc.select("doc", "places").mapInArrow(run, "doc long, r long, g long, removed string, heads array<long>")
 
 
-def deduplicate(df: DataFrame, span: int = 24, window: int = 24, n_bands: int = 2, band_rows: int = 2, similarity: float = 0.8, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(df: DataFrame, span: int = 24, window: int = 24, n_bands: int = 6, band_rows: int = 2, similarity: float = 0.8, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id, n_repeat_words, n_removed_words, removed) for every row of df.
 
     component_id is the smallest id reachable through shared passages; n_repeat_words counts words in passages that have

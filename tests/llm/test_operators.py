@@ -336,7 +336,7 @@ def test_repeats_and_near_copies_are_found_whole(spark):
     fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
     texts, spots, edited = [], {}, []
     for k in range(120):
-        size, n_edits = ((51, 0), (60, 0), (100, 0))[k % 3]
+        size, n_edits = ((51, 0), (60, 0), (100, 0), (60, 1), (100, 2), (200, 4))[k % 6]
         one = fresh(size)
         two = list(one)
         for at in r.sample(range(5, size - 5), n_edits):
@@ -356,7 +356,7 @@ def test_repeats_and_near_copies_are_found_whole(spark):
         if second:  # a near-copied paragraph may go up to two words past an end
             a, b = map(int, x.removed.split(":"))
             assert low - 2 <= a <= low and high <= b <= high + 2
-    assert edited.count(0) == 120
+    assert edited.count(0) > 50 and edited.count(1) > 10 and sum(e > 1 for e in edited) > 10
 
 
 def w5(w):
