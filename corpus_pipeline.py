@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of lines that repeat or nearly do the first stays; documents of which nothing is left go. n_chars follows the text."""
-    return line_dedup.deduplicate(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Of lines that repeat or (from 16 characters on) nearly do the first stays; documents of which nothing is left go. n_chars follows the text."""
+    return line_dedup.deduplicate(docs, exact_chars=1).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

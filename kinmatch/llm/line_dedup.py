@@ -1,7 +1,8 @@
 """Line deduplication by a segment-partition edit join.
 
 Lines of at least ``min_chars`` characters (without blanks at the ends) that are equal or within ``edits`` edits are
-linked; of each class the first line by document id and place stays and the others are removed. Other lines stay.
+linked; of each class the first line by document id and place stays and the others are removed. Of shorter lines, down to
+``exact_chars``, equal ones alone are a class. Other lines stay.
 
 A line is cut into edits + 1 even segments; lines within the distance share a segment of the shorter one, at a place that
 the multi-match-aware selection bounds. So each line is in the buckets of its own segments and of those substrings that a
@@ -276,9 +277,9 @@ def links(df: DataFrame, edits: int = 2, min_chars: int = 16, text_col: str = "t
     return met(together, ["line", "text"], verified(edits), "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def removals(df: DataFrame, edits: int = 2, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removals(df: DataFrame, edits: int = 2, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None) -> DataFrame:
     """(doc, places): the places of the lines to remove, for documents with any."""
-    occ = checkpoint(occurrences(df, id_col, text_col, min_chars))
+    occ = checkpoint(occurrences(df, id_col, text_col, min_chars if exact_chars is None else min(exact_chars, min_chars)))
     first = F.min(F.struct("doc", "place"))
     distinct = occ.groupBy("h1", "h2").agg(first.alias("first"), F.count("*").alias("n"))
     component = connected_components(links(df, edits, min_chars, text_col))
@@ -297,9 +298,9 @@ def kept_text(text: Column, places: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(places, s["i"])), lambda s: s["x"]), "\n")
 
 
-def deduplicate(df: DataFrame, edits: int = 2, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(df: DataFrame, edits: int = 2, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None) -> DataFrame:
     """df with text_col less its removed lines; rows of which nothing but blanks is left by that are dropped."""
-    gone = removals(df, edits, min_chars, id_col, text_col).withColumnRenamed("doc", "_doc").withColumnRenamed("places", "_places")
+    gone = removals(df, edits, min_chars, id_col, text_col, exact_chars).withColumnRenamed("doc", "_doc").withColumnRenamed("places", "_places")
     out = df.join(gone, df[id_col].eqNullSafe(gone["_doc"]), "left")
     text = F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(kept_text(F.col(text_col), F.col("_places")))
     out = out.withColumn(text_col, text).where(F.col("_places").isNull() | (F.trim(F.translate(text_col, "\t\n\r", "   ")) != ""))

@@ -49,7 +49,7 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_removed, removed): how many lines of each document go, and their places, comma-joined."""
     docs = table(spark, sf_dir, "documents")
-    gone = line_dedup.removals(docs)
+    gone = line_dedup.removals(docs, exact_chars=1)
     out = docs.select("doc_id").join(gone, F.col("doc_id").eqNullSafe(F.col("doc")), "left")
     return out.select("doc_id", F.greatest(F.size("places"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("places").cast("array<string>"), ","), F.lit("")).alias("removed"))
 

@@ -310,6 +310,25 @@ def test_line_dedup(spark, docs, rows, empty, most, monkeypatch):
     assert left.columns == df.columns and line_dedup.removals(empty).count() == 0
 
 
+def test_short_lines_go_as_exact_repeats(spark, tmp_path):
+    from kinmatch.llm.registry import QUERIES
+
+    texts = ["top\n\nshort line\nsome words of one long line", " short line \nshort lime\n\n", "top\nshort line\nsome words of one long lime", None, "top"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        for k, line in enumerate((t or "").split("\n")):
+            if line.strip():
+                if line.strip() in seen:
+                    want.setdefault(i, []).append(k)
+                seen.add(line.strip())
+    want[2].append(2)  # within two edits
+    got = {x.doc_id: x.removed for x in QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {i: ",".join(map(str, want.get(i, []))) for i in range(5)}
+    assert {x.doc_id: x.text for x in line_dedup.deduplicate(df, exact_chars=1).collect()} == {0: texts[0], 1: "short lime\n\n", 3: None}
+
+
 @pytest.mark.parametrize("most", [1024, 3])
 def test_substring_dedup(docs, rows, empty, most):
     got = substring_dedup.deduplicate(docs, most=most).collect()
