@@ -212,15 +212,39 @@ def nearest_cells(queries: DataFrame, pool: DataFrame, k: int, cells: int, probe
 
     v = pool.withColumn("features", array_to_vector("v"))
     model = KMeans(k=cells, seed=seed, maxIter=8, predictionCol="cell").fit(v)
-    centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))
+    shared = queries.sparkSession.sparkContext.broadcast(np.array(model.clusterCenters()))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    order = F.slice(F.array_sort(F.transform(centres, lambda c, i: F.struct((dot(c, c) - 2 * dot(c, F.col("v"))).alias("d"), i.alias("cell")))), 1, probes)
-    q = queries.select("country", "s1_id", "v", F.explode(order).alias("o")).select("country", "s1_id", F.col("v").alias("vq"), F.col("o.cell").alias("cell"))
+
+    @F.pandas_udf("array<int>")
+    def order(v: pd.Series) -> pd.Series:
+        c, out = shared.value, []
+        for low in range(0, len(v), 512):
+            d = (c * c).sum(axis=1) - 2 * np.stack(v.iloc[low : low + 512].tolist()) @ c.T
+            out += list(np.argsort(d, axis=1, kind="stable")[:, :probes])
+        return pd.Series(out, index=v.index)
+
+    q = queries.select("country", "s1_id", "v", F.explode(order("v")).alias("cell")).withColumnRenamed("v", "vq")
     p = model.transform(v).select("country", "src", "t_id", "ord", F.col("v").alias("vp"), "cell")
     pairs = q.join(p, ["country", "cell"]).select("s1_id", "t_id", "src", "ord", F.round(dot(F.col("vq"), F.col("vp")), 6).alias("score"))
     return top(pairs, k, ("s1_id",))
 
 
+def nearest_index(queries: DataFrame, pool: DataFrame, k: int, flat: int = 50_000) -> DataFrame:
+    """``nearest`` over all sources: exact in countries of at most ``flat`` rows of the pool, else by cells.
+
+    A country of n rows has min(4 sqrt(n), n / 39) cells, of which a query searches 24.
+    """
+    sizes = pool.groupBy("country").count()
+    large = {r.country: r["count"] for r in sizes.where(F.col("count") > flat).collect()}
+    among = F.col("country").isin(list(large))
+    out = top(nearest(queries.where(~among), pool.where(~among), k).drop("rank"), k, ("s1_id",))
+    for country, n in large.items():  # each has an index of its own
+        cells = max(1, int(min(4 * n**0.5, n // 39)))
+        own = F.col("country") == country
+        out = out.unionByName(nearest_cells(queries.where(own), pool.where(own), k, cells, min(cells, 24)).select(out.columns))
+    return out
+
+
 def audit(candidates: DataFrame, truth: DataFrame, n_s1: Column | int, n_pool: Column | int) -> DataFrame:
     """(recall, average candidates, reduction ratio) in one row; recall is 1 without true pairs."""
     hit = truth.join(candidates.select("s1_id", "t_id").distinct().withColumn("hit", F.lit(1)), ["s1_id", "t_id"], "left").agg(F.count("*").alias("n_true"), F.count("hit").alias("n_hit"))

@@ -267,9 +267,9 @@ def block_dense(spark, sf_dir):
 
 @query()
 def block_dense_cells(spark, sf_dir):
-    """K-means cells."""
+    """Exact up to 50,000 vectors of a country, else k-means cells."""
     q, p = vectors(spark, sf_dir)
-    return candidates_out(blocking.nearest_cells(q, p, 10, cells=16, probes=6))
+    return candidates_out(blocking.nearest_index(q, p, 10))
 
 
 @query(f"""WITH {ENT}, {M1} SELECT (SELECT count(*) FROM truth JOIN topk USING (s1_id, t_id)) / (SELECT count(*) FROM truth) AS recall,

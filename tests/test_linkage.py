@@ -143,3 +143,17 @@ def test_validation(spark):
     cands = spark.createDataFrame([("S1-2", "S1-3", 1)], "s1_id string, ids string, tabs int")
     assert validate.check_subset(rows, cands).first().severity == "warning"
     assert not validate.passed(validate.check_subset(rows, cands, True)) and validate.passed(validate.check_subset(rows, cands))
+
+
+def test_dense_cells_hold_the_nearest(spark, tmp_path):
+    from kinmatch.queries import Q, vectors
+
+    r = random.Random(12)
+    made = [(k, k % 10, [r.gauss(0, 1) for _ in range(16)]) for k in range(1500)]
+    spark.createDataFrame(made, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    q, p = vectors(spark, str(tmp_path))
+    pairs = lambda df: {(x.s1_id, x.t_id) for x in df.collect()}
+    want = pairs(blocking.nearest(q, p, 10))
+    assert pairs(Q["block_dense_cells"](spark, str(tmp_path))) == want
+    cells = pairs(blocking.nearest_index(q, p, 10, flat=100))
+    assert len(want) == 6000 and len(cells & want) >= 0.9 * len(want)
