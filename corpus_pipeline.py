@@ -26,10 +26,18 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of the smallest id stays, once. Rows without an id stay if a group has no other."""
-    groups = simhash.near_duplicates(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs.doc_id.eqNullSafe(stay["_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of texts one row stays, that of the smallest id; one without an id if a group has no other.
+
+    Groups are of fingerprints, not of ids: rows that share an id or have none are told apart by their texts.
+    """
+    prints = simhash.with_fingerprints(docs, "_print").withColumn("_row", F.xxhash64(*docs.columns))
+    rows = checkpoint(prints.select("doc_id", "_print", "_row"))
+    texts = rows.select(F.col("_print").alias("print"), F.col("_print").alias("least")).distinct()
+    component = simhash.print_components(texts)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_print", "_row")
+    first = rows.join(component, F.col("_print") == F.col("node"), "left").groupBy(F.coalesce("component", "_print")).agg(F.min(order).alias("first"))
+    stay = first.select(F.col("first._print").alias("_print"), F.col("first._row").alias("_row"))
+    return prints.join(stay, ["_print", "_row"], "left_semi").dropDuplicates(["_print"]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

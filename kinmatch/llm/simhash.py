@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import checkpoint, connected_components, map_rows
 
@@ -123,12 +124,22 @@ def bucket_links(rows: DataFrame, bits: int) -> DataFrame:
     return rows.select("key", "print", "id").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, bits: int = 3, most: int = 2048) -> DataFrame:
-    """(id, fingerprint as 16 hex digits, component_id) for every row of df."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
-    prints = map_rows(df, lambda ids, texts: {"doc_id": ids, "print": fingerprints(texts, k)}, [id_col, text_col], "doc_id long, print long", arrow)
-    prints = checkpoint(prints)  # the texts are read once
-    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
+def with_fingerprints(df: DataFrame, name: str, text_col: str = "text", k: int = 3) -> DataFrame:
+    """df with the fingerprint of each row's text as a long."""
+    names, schema = [*df.columns, name], StructType([*df.schema.fields, StructField(name, LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                found = pa.array(fingerprints(part.column(text_col).to_pylist(), k), pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def print_components(distinct: DataFrame, bits: int = 3, most: int = 2048) -> DataFrame:
+    """(node, component) of the ids in distinct(print, least) whose fingerprints are linked."""
     keys = []
     for n, pair in enumerate(combinations(BLOCKS, 2)):
         mask = sum(((1 << width) - 1) << at for at, width in pair)
@@ -142,6 +153,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = dealt.join(sizes, "bucket").select("bucket", "print", "id", own.alias("own"), met)
     rows = rows.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "print", "id")
     links = bucket_links(rows.repartition("key").sortWithinPartitions("key"), bits)
-    component = connected_components(links)
+    return connected_components(links)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, bits: int = 3, most: int = 2048) -> DataFrame:
+    """(id, fingerprint as 16 hex digits, component_id) for every row of df."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
+    prints = map_rows(df, lambda ids, texts: {"doc_id": ids, "print": fingerprints(texts, k)}, [id_col, text_col], "doc_id long, print long", arrow)
+    prints = checkpoint(prints)  # the texts are read once
+    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
+    component = print_components(distinct, bits, most)
     least = distinct.join(component, distinct.least == component.node, "left").select("print", F.coalesce("component", "least").alias("component_id"))
     return prints.join(least, "print").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

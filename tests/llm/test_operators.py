@@ -329,6 +329,27 @@ def test_short_lines_go_as_exact_repeats(spark, tmp_path):
     assert {x.doc_id: x.text for x in line_dedup.deduplicate(df, exact_chars=1).collect()} == {0: texts[0], 1: "short lime\n\n", 3: None}
 
 
+def test_simhash_stage_keeps_a_row_of_each_group(spark, docs, rows, empty):
+    import corpus_pipeline
+
+    r = random.Random(31)
+    one, two = (" ".join(r.choices("abcdefghij", k=40)) for _ in range(2))
+    more = [(None, one + " " + two), (None, two + " " + one), (None, two + " " + one), (None, one), (None, two), (None, one), (7, one), (900, two + " x y z"), (900, one + " u v w"), (901, None)]
+    df = docs.select("doc_id", "text", "labels").unionByName(spark.createDataFrame(more, "doc_id long, text string").selectExpr("*", "'q' as labels"))
+    every = [(x[0], x[1]) for x in rows] + more
+    f = [fingerprint(t or "") for _, t in every]
+    group = groups(sorted(set(f)), [(a, b) for a, b in itertools.combinations(sorted(set(f)), 2) if (a ^ b).bit_count() <= 3])
+    held = {}
+    for (i, t), x in zip(every, f, strict=True):
+        held.setdefault(group[x], []).append((i is None, i or 0, t))
+    got = corpus_pipeline.simhash_dedup(spark, df, "").collect()
+    assert len(got) == len(held) and {group[fingerprint(x.text or "")] for x in got} == set(held)
+    for x in got:
+        assert (x.doc_id is None, x.doc_id or 0) == min(h[:2] for h in held[group[fingerprint(x.text or "")]])
+    assert sum(x.doc_id is None for x in got) == sum(all(h[0] for h in v) for v in held.values()) > 0
+    assert corpus_pipeline.simhash_dedup(spark, empty, "").count() == 0
+
+
 @pytest.mark.parametrize("most", [1024, 3])
 def test_substring_dedup(docs, rows, empty, most):
     got = substring_dedup.deduplicate(docs, most=most).collect()
