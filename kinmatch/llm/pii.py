@@ -5,7 +5,9 @@ looser spans: spelled-out addresses and runs of digits with separators. Boosted
 and context; a threshold calibrated on held-out candidates selects the redactions that are added. Base spans stay.
 
 The trees learn from weak labels: a candidate that overlaps a base span is personal data, another is not, so that spans
-formatted and placed like personal data are found where the strict form fails. They are fitted on a bounded sample, the
+formatted and placed like personal data are found where the strict form fails. Base e-mail addresses spelled out and base
+phones without the plus, in their places, are further examples of personal data; spelled-out addresses with bracketed
+marks that a text has itself are no examples of either kind. They are fitted on a bounded sample, the
 candidates of the ``most_docs`` texts with candidates of least hashed id, and applied as conditional expressions of the
 plan. Matching, tests, features and trees are all DataFrame expressions; nothing is shuffled.
 
@@ -111,6 +113,20 @@ def candidates(df: DataFrame) -> DataFrame:
     return df.withColumn("cand", F.expr("concat(" + ", ".join(one.format(k=k) for k in KINDS[4:]) + ")"))
 
 
+def with_examples(df: DataFrame) -> DataFrame:
+    """df of candidates with base addresses spelled out and base phones without the plus among them, as personal data."""
+    form = "pmod(xxhash64(m.s, m.at), 6)"
+    host = f"if({form} < 3, substring_index(m.s, '@', -1), substring_index(m.s, '.', -2))"
+    host = f"substring_index({host}, '@', -1)"  # whole, or its last two parts
+    at, dot = (f"element_at(array(' ({w}) ', ' [{w}] ', ' {w} '), cast({form} % 3 as int) + 1)" for w in ("at", "dot"))
+    spelled = f"concat(substring_index(m.s, '@', 1), {at}, replace({host}, '.', {dot}))"
+    about = "substring(_t, greatest(m.at - 23, 1), least(m.at, 24))"
+    one = "transform({k}, m -> named_struct('at', m.at, 'to', m.to, 's', {s}, 'kind', '{kind}', 'before', " + about + ", 'after', substring(_t, m.to + 1, 8), 'base', true))"
+    unsure = "c.kind = 'handle' and not c.base and (contains(c.s, '(') or contains(c.s, '['))"
+    parts = (f"filter(cand, c -> not ({unsure}))", one.format(k="email", s=spelled, kind="handle"), one.format(k="phone", s="substring(m.s, 2)", kind="number"))
+    return df.withColumn("cand", F.expr("concat(" + ", ".join(parts) + ")"))
+
+
 # -- boosted trees ----------------------------------------------------------------------------------------------------
 
 
@@ -199,15 +215,15 @@ def boost(x: dict[str, np.ndarray], y: np.ndarray, rounds: int = 24, depth: int
             pools[-1][1] += pos
             pools[-1][2] += n
     good = [v for v, pos, n in pools if pos >= precision * n and n >= 5]
-    model.threshold = float(min(good)) if good else float("inf")
+    model.threshold = float(min(good)) - 1e-9 if good else float("inf")  # the plan adds trees up in another order
     return model
 
 
 def fit(df: DataFrame, most_docs: int = 2000, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the candidates of at most ``most_docs`` texts and at most ``most_rows`` candidates."""
-    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(r"text rlike '[0-9][0-9 ().\\-/]{5}|[ (\\[]at[ )\\]]'")
+    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(r"text rlike '[0-9][0-9 ().\\-/]{5}|[ (\\[]at[ )\\]]|@'")
     some = texts.select("_id").where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(most_docs)
-    rows = candidates(add_spans(texts.join(F.broadcast(some.distinct()), "_id")))  # most_docs ids are broadcast
+    rows = with_examples(candidates(add_spans(texts.join(F.broadcast(some.distinct()), "_id"))))  # most_docs ids are broadcast
     figure = features("c")
     rows = rows.select("_id", F.explode("cand").alias("c")).select("_id", "c.at", F.expr("c.base").alias("_y"), *(F.expr(sql).cast("double").alias(k) for k, sql in figure.items()))
     found = rows.orderBy(F.xxhash64("_id", "at"), "_id", "at").limit(most_rows).collect()

@@ -176,6 +176,21 @@ def test_boosting_adds_spans_and_redacts(spark):
     assert {x.t for x in out.where("doc_id < 150").collect()} == {"call [phone] now"}
 
 
+def test_boosting_adds_spelled_out_addresses_and_phones(spark):
+    r = random.Random(13)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    phone = lambda: f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}"
+    texts = [f"write to {word()}{r.choice(['', '7'])}@{word()}.{word()}.com today" for _ in range(150)] + [f"look {word()} at {word()}. {word()} is there" for _ in range(150)]
+    texts += [f"call +1 {phone()} now" for _ in range(150)] + [f"sum {r.randint(10**7, 10**8)} of it" for _ in range(150)]
+    added = [f"{word()} (at) {word()} (dot) com", f"{word()} [at] {word()} [dot] {word()} [dot] com", f"1 {phone()}"]
+    texts += [f"write to {added[0]} today", f"write to {added[1]} today", f"call {added[2]} now"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(pii.find(df, pii.fit(df)).select("doc_id", pii.listed("spans").alias("s")))
+    for k, (kind, low) in enumerate((("handle", 9), ("handle", 9), ("number", 5))):
+        assert got[600 + k].s == f"{kind}:{low}:{low + len(added[k])}"
+    assert not any(got[k].s for k in [*range(150, 300), *range(450, 600)])
+
+
 # -- quality -----------------------------------------------------------------------------------------------------------
 
 
