@@ -24,11 +24,12 @@ def dealt(rows: DataFrame, member: str, most: int, also: str | None = None) -> D
     return met.withColumn("key", F.xxhash64("bucket", F.least("_own", "_met"), F.greatest("_own", "_met"))).drop("bucket", "parts", "_own", "_met")
 
 
-def met_once(rows: DataFrame, columns: list[str], work: Callable[[pa.Table], dict], most: int) -> DataFrame:
+def met_once(rows: DataFrame, columns: list[str], work: Callable[[pa.Table], dict], most: int, fold: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
     """``work`` on the buckets of rows(bucket, columns), met in one shuffle; gives (key, member) of what it holds.
 
     ``work`` gets tables of whole buckets with ``key`` for bucket. A bucket of more than ``most`` rows is not worked on
     where it is: as soon as it is seen to be larger its rows are passed on, and are dealt over pairs of parts afterwards.
+    ``fold`` makes one of like rows of a key before they are counted; with it ``work`` gets keys of one row too.
     """
     member = columns[0]
     fields = [("key", pa.int64()), *((c, ARROW[t]) for c, t in rows.select(*columns).dtypes), ("large", pa.bool_())]
@@ -50,11 +51,11 @@ def met_once(rows: DataFrame, columns: list[str], work: Callable[[pa.Table], dic
                 size = np.repeat(n, n)
                 if (size > most).any():
                     yield from passed(part.filter(pa.array(size > most)))
-                some = part.filter(pa.array((size > 1) & (size <= most)))
+                some = part.filter(pa.array(((size > 1) | (fold is not None)) & (size <= most)))
                 if some.num_rows:
                     out = work(some)
-                    rest = {c: pa.nulls(len(out["key"]), t) for c, t in fields}
-                    rest |= {"key": pa.array(out["key"], pa.int64()), member: pa.array(out[member], pa.int64()), "large": pa.array(np.zeros(len(out["key"]), bool))}
+                    rest = {c: pa.array(out[c], t) if c in out else pa.nulls(len(out["key"]), t) for c, t in fields}
+                    rest["large"] = pa.array(np.zeros(len(out["key"]), bool))
                     yield pa.RecordBatch.from_arrays([rest[c] for c, _ in fields], schema=arrow)
 
         for batch in batches:
@@ -68,6 +69,7 @@ def met_once(rows: DataFrame, columns: list[str], work: Callable[[pa.Table], dic
                     continue
                 large = None
             held = new if held is None else pa.concat_tables([held, new])
+            held = held if fold is None else fold(held)
             key = held.column(0).to_numpy()
             if not len(key):
                 continue
@@ -89,13 +91,17 @@ def met_once(rows: DataFrame, columns: list[str], work: Callable[[pa.Table], dic
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 
 
-def members(rows: DataFrame, columns: list[str], work: Callable[[pa.Table], dict], most: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(key, member) of what ``work`` holds in all buckets, large ones too; ``keep`` stores a table that is read twice."""
-    member = columns[0]
-    first = keep(met_once(rows, columns, work, most))
-    large = dealt(first.where("large").drop("large").withColumnRenamed("key", "bucket"), member, most)
-    out = met(large, columns, work, f"key long, {member} long", pa.schema([("key", pa.int64()), (member, pa.int64())]))
-    return first.where("not large").select("key", member).unionByName(out)
+def members(rows: DataFrame, columns: list[str], work: Callable[[pa.Table], dict], most: int, keep: Callable[[DataFrame], DataFrame], also: list[str] | None = None, fold: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
+    """(key, member) of what ``work`` holds in all buckets, large ones too, and the columns ``also`` of its result.
+
+    ``keep`` stores a table that is read twice.
+    """
+    names = ["key", columns[0], *(also or [])]
+    first = keep(met_once(rows, columns, work, most, fold))
+    large = dealt(first.where("large").drop("large").withColumnRenamed("key", "bucket"), columns[0], most)
+    types = dict(rows.dtypes) | {"key": "bigint"}
+    out = met(large, columns, work, ", ".join(f"{c} {types[c]}" for c in names), pa.schema([(c, ARROW[types[c]]) for c in names]))
+    return first.where("not large").select(names).unionByName(out)
 
 
 def met(rows: DataFrame, columns: list[str], work: Callable[[pa.Table], dict], schema: str, arrow: pa.Schema) -> DataFrame:

@@ -1,27 +1,35 @@
-"""Substring deduplication by paragraph MinHash banding, with seeds that carry a match to its ends.
-
-A paragraph is a run of ``span`` words; paragraphs begin where a word window's least shingle hash lies (winnowing). A shorter
-text is one paragraph. Equal paragraphs are merged by hash. The rest are joined on bands of MinHash values of their
-five-word shingles; colliding paragraphs whose 64-bit sketches allow a Jaccard similarity of 0.8 are brought together with
-their shingles and verified exactly. From a bucket come the links of a forest; components give the classes.
-
-Seeds are runs of ``SEED`` words, winnowed so that any 24 words that two texts share hold a seed of both. A passage of over
-50 words and its near-copy (five-word Jaccard of 0.8 or more) have 24 words on end in common, so they share a seed. From
-the outer seeds of a text's matches the shingles up to ``REACH`` words away are looked up among those at the same distance
-of the same seed elsewhere. So a match goes on to its ends, and past changed words. Matched words on end with a paragraph
-among them stay as they are; beside those a passage counts if it has over 50 words, 24 matched ones on end, and 0.8 of
-its shingles by Jaccard matched; changed words in it belong to it. A near-copied paragraph is whole, up to two of its words
-at an end may be others.
-
-Of each class the first place by document id and place stays, the words of the others are removals; changed words go with
-those at both sides. A pair of paragraphs at similarity 0.8 collides with probability 0.998 (six bands of two values).
-Words are what white space parts, A-Z in lower case. Texts of under five words, null ones too, have no paragraph. Rows that
-repeat an id count as one document; rows with a null id have a row in the result and no class.
+"""Substring deduplication by paragraph MinHash banding, with matches carried to their ends.
+
+A paragraph is a run of ``SPAN`` words; paragraphs begin where a shingle's hash is the least of ``WINDOW`` neighbours
+(winnowing), so that any 31 words that two texts share hold a paragraph of both. Its five-word shingles give ``n_bands``
+buckets of ``band_rows`` MinHash values each. Of colliding paragraphs equal ones are a class; unequal ones whose 64-bit
+sketches allow the similarity are brought together with their shingles and verified by exact Jaccard similarity. From a
+bucket come the links of a forest; components give the classes. Among twelve shingles 0.8 allows one other shingle; three
+bands of two values bring such a pair together with probability 0.97.
+
+Paragraphs of a class flag a place. About flagged paragraphs single shingles that occur elsewhere about flagged
+paragraphs carry the match to its ends and past changed words: runs of 12 words, or less beside a match with the same
+other text at about the same distance. Matched words with at most ``GAP`` changed ones between are a passage if it has
+``LEAST`` words or more, ``RUN`` matched ones on end and the similarity of its shingles to the matched ones; changed
+words in it belong to it. A passage of over 50 words and its near-copy (five-word Jaccard of 0.8 or more) have 25 words on
+end in common; ``test_near_copies_by_brute_force`` measures how many such pairs are linked.
+
+Of each class the first place by document id and place stays, the words of the others are removals, but for words that
+the first place itself covers; changed words go with those at both sides. Documents are linked if passages of both hold a
+paragraph of one class.
+
+Words are what white space parts, A-Z in lower case. Texts of under ``LEAST`` words, null ones too, have no passage. Hashes
+have 64 bits; one wrong equality alone makes no passage. Rows that repeat an id count as one document; rows with a null id
+have a row in the result and no class. Ids are integers. Other columns are not read.
+
+Texts are read in four narrow passes: buckets; colliding paragraphs; flagged paragraphs and what they look for; and, of
+flagged documents alone, what is looked for. What a pass needs of the one before is a bitmap of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,35 +37,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap
 from .buckets import Forest, close_pairs, members, met
-from .common import checkpoint, connected_components
+from .common import connected_components, stored
 
 SHINGLE = 5
-SEED = 12
-LEAST = 24  # words on end in which two texts that share them have a common seed
-LONG = 50  # a near-copied passage has more words
-REACH = 48  # words on either side of a seed that are looked up
-BITMAP = 24  # bits of the number of a place in the bitmap of candidates: 16 M places, 2 MB
+SPAN = 16  # words of a paragraph
+WINDOW = 16  # places among which one begins
+REACH = 48  # words about a flagged paragraph that are looked at
+SHORT = 12  # words on end that match by themselves
+RUN = 24  # matched words on end in a passage
+GAP = 8  # changed words on end in a passage
+LEAST = 40  # words of a passage
+WIDTH = SPAN - SHINGLE + 1
 ODD = np.random.RandomState(11).randint(0, 2**32, (64, 2), dtype=np.uint64) @ np.array([1 << 32, 1], np.uint64) | np.uint64(1)
 
-_WORDS: dict[bytes, int] = {}
 
+class Words(dict):
+    """A 64-bit hash of each word; those of short words stay."""
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word; short words stay in a bounded cache."""
-    words = (text or "").encode().lower().split()
-    if len(_WORDS) > 400_000:
-        _WORDS.clear()
-    try:
-        return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        for w in words:  # a difference with the cache's keys would go through all of the cache
-            if w not in _WORDS:
-                _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-        out = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-        for w in [w for w in set(words) if len(w) > 64]:
-            del _WORDS[w]
-        return out
+    def __missing__(self, w: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(w)
+        if len(w) <= 64:
+            self[w] = h
+        return h
+
+
+_WORDS = Words()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -75,63 +81,100 @@ def extreme(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
     return x
 
 
-def winnowed(s: np.ndarray, window: int) -> np.ndarray:
-    """Places of a least value of any window."""
-    window = min(window, len(s))
-    least = extreme(s, window, np.minimum)
-    edge = np.zeros(window - 1, np.uint64)
-    return np.flatnonzero(extreme(np.concatenate([edge, least, edge]), window, np.maximum) == s)
-
-
-def shingles_of(text: str | None) -> np.ndarray:
-    """The hash of each run of ``SHINGLE`` words."""
-    w = word_hashes(text)
-    n = len(w)
-    if n < SHINGLE:
-        return np.zeros(0, np.uint64)
-    return mixed(sum((w[k : n - SHINGLE + 1 + k] * ODD[k] for k in range(SHINGLE)), np.uint64(0)))
-
-
-def paragraphs(text: str | None, span: int, window: int, near: int = 2, s: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(places, shingles): where paragraphs begin, and a row of shingle hashes for each."""
-    s = shingles_of(text) if s is None else s
-    if not len(s):
-        return np.zeros(0, np.int64), np.zeros((0, 1), np.uint64)
-    width = min(span - SHINGLE + 1, len(s))
-    at = winnowed(s[: len(s) - width + 1], window)
-    # Paragraphs shifted by a few words are near-copies of each other: of beginnings so close the least hash stays.
-    drop = np.zeros(len(at), bool)
-    for k in range(1, near + 1):
-        if len(at) > k:
-            tight = at[k:] - at[:-k] <= near
-            first = s[at[:-k]] <= s[at[k:]]
-            drop[k:] |= tight & first
-            drop[:-k] |= tight & ~first
-    at = at[~drop]
-    return at, s[at[:, None] + np.arange(width)]
-
-
-def seeds(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, ids) of the seeds of a text's shingles."""
-    width = SEED - SHINGLE + 1
-    if len(s) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = winnowed(s[: len(s) - width + 1], LEAST - SEED + 1)
-    return at, paragraph_ids(s[at[:, None] + np.arange(width)]) ^ 0x5EED
-
-
-def paragraph_ids(shingles: np.ndarray) -> np.ndarray:
-    factors = np.resize(ODD[8:40], shingles.shape[1]) * np.arange(1, 2 * shingles.shape[1], 2, dtype=np.uint64)
-    return mixed((shingles * factors).sum(axis=1, dtype=np.uint64)).view(np.int64)
+class Flat:
+    """The texts of ``LEAST`` words or more one after another: a shingle's hash at every word's place."""
+
+    def __init__(self, ids: list[int], lists: list[list[bytes]]):
+        self.ids = np.array(ids, np.int64)
+        n = np.array([len(w) for w in lists], np.int64)
+        self.ends = np.cumsum(n)
+        self.begin = self.ends - n
+        size = int(n.sum())
+        if len(_WORDS) > 400_000:
+            _WORDS.clear()
+        w = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(lists)), np.uint64, size)
+        self.doc = np.repeat(np.arange(len(n)), n)
+        #: Words from a place to its text's end. What reaches further is no shingle, paragraph or window.
+        self.left = self.ends[self.doc] - np.arange(size)
+        self.s = np.zeros(size, np.uint64)
+        if size:
+            self.s[: size - SHINGLE + 1] = mixed(sum((w[k : size - SHINGLE + 1 + k] * ODD[k] for k in range(SHINGLE)), np.uint64(0)))
+
+    def paragraphs(self) -> np.ndarray:
+        """Places at which paragraphs begin."""
+        s, left = self.s, self.left
+        if not len(s):
+            return np.zeros(0, np.int64)
+        least = extreme(s, WINDOW, np.minimum)
+        least = np.where(left[: len(least)] >= SPAN + WINDOW - 1, least, np.uint64(0))
+        edge = np.zeros(WINDOW - 1, np.uint64)
+        at = np.flatnonzero((extreme(np.concatenate([edge, least, edge]), WINDOW, np.maximum) == s) & (left >= SPAN))
+        # Of neighbouring beginnings, near-copies of each other, the least hash stays; equal ones are equal paragraphs.
+        beside, a, b = at[1:] - at[:-1] == 1, s[at[:-1]], s[at[1:]]
+        drop = np.zeros(len(at), bool)
+        drop[1:] |= beside & (a < b)
+        drop[:-1] |= beside & (a > b)
+        return at[~drop]
+
+    def names(self, at: np.ndarray) -> np.ndarray:
+        """A hash of each paragraph."""
+        s = self.s
+        return mixed(s[at] * ODD[8] + s[at + 5] * ODD[9] + s[at + 10] * ODD[10] + s[at + 11] * ODD[11]).view(np.int64)
+
+    def shingles(self, at: np.ndarray) -> np.ndarray:
+        return self.s[at[:, None] + np.arange(WIDTH)]
+
+    def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id, place in the text)."""
+        d = self.doc[at]
+        return self.ids[d], at - self.begin[d]
+
+    def chains(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, end, text) of chains of paragraphs that overlap or meet."""
+        new = np.concatenate([[True], (at[1:] > at[:-1] + SPAN) | (self.doc[at[1:]] != self.doc[at[:-1]])]) if len(at) else np.zeros(0, bool)
+        last = np.concatenate([new[1:], [True]]) if len(at) else new
+        return at[new], at[last] + SPAN, self.doc[at[new]]
+
+    def within(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Of every place whether it is in any [low, high)."""
+        n = len(self.s)
+        step = np.bincount(low, minlength=n + 1) - np.bincount(np.maximum(low, high), minlength=n + 1)
+        return np.cumsum(step)[:n] > 0
+
+
+    def about(self, at: np.ndarray) -> np.ndarray:
+        """Of every place whether a shingle in or about those paragraphs begins there."""
+        low, high, d = self.chains(at)
+        return self.within(np.maximum(low - REACH, self.begin[d]), np.minimum(high + REACH, self.ends[d])) & (self.left >= SHINGLE)
+
+
+def flats(batches: Iterator[pa.RecordBatch], only=None, most_chars: int = 1 << 21) -> Iterator[Flat]:
+    """Slices of batches(id, text) of a bounded number of characters, or one text; ``only`` tells ids that are wanted."""
+    for batch in batches:
+        ids, lists, size = [], [], 0
+        wanted = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        if only is not None and batch.num_rows:
+            wanted &= only.holds(batch.column(0).fill_null(0).to_numpy())
+        for k in np.flatnonzero(wanted).tolist():
+            t = batch.column(1)[k].as_py()
+            w = (t or "").encode().lower().split()
+            if len(w) >= LEAST:
+                ids.append(batch.column(0)[k].as_py())
+                lists.append(w)
+                size += len(t)
+                if size >= most_chars:
+                    yield Flat(ids, lists)
+                    ids, lists, size = [], [], 0
+        yield Flat(ids, lists)
 
 
 def bands(shingles: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
-    """A column of bucket numbers for each band."""
+    """Bucket numbers, band by band."""
     out = []
     for b in range(n_bands):
-        least = [mixed(shingles * ODD[40 + b * rows + r]).min(axis=1) for r in range(rows)]
-        out.append(mixed(sum((v * ODD[k] for k, v in enumerate(least)), np.uint64(b))).view(np.int64))
-    return np.stack(out, axis=1)
+        least = [(shingles * ODD[40 + b * rows + r]).min(axis=1) for r in range(rows)]
+        out.append(mixed(sum((v * ODD[20 + k] for k, v in enumerate(least)), np.uint64(b))).view(np.int64))
+    return np.concatenate(out)
 
 
 def sketches(shingles: np.ndarray) -> np.ndarray:
@@ -139,33 +182,64 @@ def sketches(shingles: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(np.uint64(1) << (shingles >> np.uint64(58)), axis=1).view(np.int64)
 
 
-def paragraph_rows(df: DataFrame, columns: list[str], id_col: str, text_col: str, span: int, window: int, n_bands: int, band_rows: int) -> DataFrame:
-    """The given ones of (p, doc, at, size, b0.., sketch) for every paragraph; without the sketch for every seed too."""
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """Of sorted rows, which begin a group of equal ones."""
+    if not len(columns[0]):
+        return np.zeros(0, bool)
+    return np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+
+
+def apart(first: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of groups of rows sorted by place, 1 for those whose places span a paragraph's length or more, else 0."""
+    low = np.flatnonzero(first)
+    high = np.append(low[1:], len(at)) - 1
+    return (at[high[: len(low)]] - at[low] >= SPAN).astype(np.int64)
+
+
+def collisions(df: DataFrame, n_bands: int, band_rows: int) -> DataFrame:
+    """(bucket) of buckets with two places; paragraphs that overlap in one text count as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                out: dict[str, list] = {c: [] for c in columns}
-                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if d is None:
-                        continue
-                    s = shingles_of(t)
-                    at, sh = paragraphs(t, span, window, s=s)
-                    if not len(at):
-                        continue
-                    made = {"p": paragraph_ids(sh)}
-                    if "doc" in out:
-                        seed_at, seed = seeds(s)
-                        made = {"p": np.concatenate([made["p"], seed]), "doc": np.full(len(at) + len(seed), d), "at": np.concatenate([at, seed_at])}
-                    if "sketch" in out:
-                        found = bands(sh, n_bands, band_rows)
-                        made |= {f"b{k}": found[:, k] for k in range(n_bands)} | {"sketch": sketches(sh)}
-                    for c in columns:
-                        out[c].append(made[c])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[c]) if out[c] else np.zeros(0, np.int64), pa.int64()) for c in columns], names=columns)
-
-    return df.select(id_col, text_col).mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+        for flat in flats(batches):
+            at = flat.paragraphs()
+            x = bands(flat.shingles(at), n_bands, band_rows)
+            order = np.argsort(x, kind="stable")
+            x, g = x[order], np.tile(at, n_bands)[order]
+            first = starts(x)
+            one = x[first]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([one, one[apart(first, g) > 0]]))], names=["bucket"])
+
+    return df.mapInArrow(run, "bucket long").groupBy("bucket").count().where("count > 1").select("bucket")
+
+
+def colliding(df: DataFrame, hits, n_bands: int, band_rows: int) -> DataFrame:
+    """(bucket, p, sketch, n) of paragraphs in the buckets of ``hits``; n: 2 if they have more than one place in a slice of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for flat in flats(batches):
+            at = flat.paragraphs()
+            sh = flat.shingles(at)
+            x = bands(sh, n_bands, band_rows)
+            held = np.flatnonzero(hits.holds(x))
+            k = held % max(1, len(at))
+            x, g, p = x[held], at[k], flat.names(at)[k]
+            order = np.lexsort((g, p, x))
+            x, g, p, sk = x[order], g[order], p[order], sketches(sh)[k][order]
+            first = starts(x, p)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x[first], p[first], sk[first], 1 + apart(first, g))], names=["bucket", "p", "sketch", "n"])
+
+    return df.mapInArrow(run, "bucket long, p long, sketch long, n long")
+
+
+def folded(part: pa.Table) -> pa.Table:
+    """Rows of (key, p, sketch, n) sorted by key, one for each paragraph of a key."""
+    if part.num_rows < 2:
+        return part
+    key, p, sketch, n = (c.to_numpy() for c in part.columns)
+    order = np.lexsort((p, key))
+    key, p, sketch, n = key[order], p[order], sketch[order], n[order]
+    at = np.flatnonzero(starts(key, p))
+    return pa.table([key[at], p[at], sketch[at], np.add.reduceat(n, at)], names=part.column_names)
 
 
 def allowed(similarity: float, size: int) -> int:
@@ -174,19 +248,21 @@ def allowed(similarity: float, size: int) -> int:
 
 
 def partnered(most_bits: int):
-    """Of the rows of a key, those with a partner that the sketches allow."""
+    """Of the paragraphs of each key those with a partner that the sketches allow (n 1), those with two places (n 2), or both (n 3)."""
 
     def work(part: pa.Table) -> dict:
-        key, p = part.column("key").to_numpy(), part.column("p").to_numpy()
-        sketch = part.column("sketch").to_numpy().view(np.uint64)
+        key, p, sketch, n = (c.to_numpy() for c in folded(part.select(["key", "p", "sketch", "n"])).columns)
+        sketch = sketch.view(np.uint64)
         ones = np.bitwise_count(sketch).astype(np.int64)
         order = np.lexsort((ones, key))
-        key, p, sketch, ones = key[order], p[order], sketch[order], ones[order]
-        held = np.zeros(len(key), bool)
+        key, p, sketch, ones, n = key[order], p[order], sketch[order], ones[order], n[order]
+        near = np.zeros(len(key), bool)
         for i, j in close_pairs(key, ones, most_bits):
-            ok = (p[i] != p[j]) & (np.bitwise_count(sketch[i] ^ sketch[j]) <= most_bits)
-            held[i[ok]] = held[j[ok]] = True
-        return {"key": key[held], "p": p[held]}
+            ok = np.bitwise_count(sketch[i] ^ sketch[j]) <= most_bits
+            near[i[ok]] = near[j[ok]] = True
+        what = near + 2 * (n > 1)
+        held = what > 0
+        return {"key": key[held], "p": p[held], "n": what[held]}
 
     return work
 
@@ -216,216 +292,167 @@ def verified(similarity: float, most_bits: int):
     return work
 
 
-def bitmap(rows: DataFrame, column: str):
-    """A broadcast bitmap of fixed size with the bit of each value of a column."""
-    mask = (1 << BITMAP) - 1
-    p = F.col(column)
-    words = rows.select(F.shiftright(p.bitwiseAND(mask), 6).alias("w"), F.expr(f"shiftleft(1L, cast(({column} & {mask}) & 63 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).collect()
-    bits = np.zeros(1 << (BITMAP - 6), np.int64)
-    for w, v in words:
-        bits[w] = v
-    return rows.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
-
-
-def marked(marks: np.ndarray, p: np.ndarray) -> np.ndarray:
-    k = p & ((1 << BITMAP) - 1)
-    return (marks[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)
+def flagged(df: DataFrame, equal, near) -> DataFrame:
+    """(key, doc, at, size, shingles): flagged paragraphs (size ``SPAN``); shingles looked for about them (size 0); and the
+    shingles of paragraphs of ``near`` (size -1).
 
-
-def candidate_shingles(df: DataFrame, members: DataFrame, text_col: str, span: int, window: int) -> DataFrame:
-    """(p, shingles) of paragraphs whose hash has its bit in a bitmap of fixed size made from members(p)."""
-    shared = bitmap(members, "p")
+    Within chains of ``equal`` paragraphs nothing is looked for, unless their bitmap is too full to tell; a lookup by one of
+    two texts is enough.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
-        for batch in batches:
-            found: dict[int, bytes] = {}
-            for t in batch.column(0).to_pylist():
-                at, sh = paragraphs(t, span, window)
-                if len(at):
-                    p = paragraph_ids(sh)
-                    for i in np.flatnonzero(marked(marks, p)).tolist():
-                        found[int(p[i])] = sh[i].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["p", "shingles"])
-
-    return df.select(text_col).mapInArrow(run, "p long, shingles binary").groupBy("p").agg(F.first("shingles").alias("shingles"))
-
-
-def looked_up(p: np.ndarray, at: np.ndarray, steps: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, places) of the shingles at the given distances from seeds, where there are such; steps has a row for each seed."""
-    place = at[:, None] + steps
-    inside = (place >= 0) & (place < len(s))
-    place, step = place[inside], np.broadcast_to(steps, inside.shape)[inside]
-    owner = np.broadcast_to(p[:, None], inside.shape)[inside].view(np.uint64)
-    return mixed(owner * ODD[5] + step.astype(np.uint64) * ODD[6] + s[place] * ODD[7]).view(np.int64), place
-
-
-def matched_rows(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, span: int, window: int) -> DataFrame:
-    """(p, doc, at, size) of paragraphs and seeds with their bit in the bitmap of classes(p); else ``keys``: packed bits of keys to look up."""
-    shared = bitmap(classes, "p")
+        for flat in flats(batches):
+            at = flat.paragraphs()
+            p = flat.names(at)
+            e, h = equal.holds(p), near.holds(p)
+            hp, first = np.unique(p[h], return_index=True)
+            sh = [x.tobytes() for x in flat.shingles(at[h][first])]
+            low, high, _ = flat.chains(at[e] if not equal.full else at[:0])
+            want = flat.about(at[e | h]) & ~flat.within(low, high - SHINGLE + 1)
+            at, p = at[e | h], p[e | h]
+            keys = np.unique(flat.s[want]).view(np.int64)
+            doc, place = flat.places(at)
+            blank = [None] * (len(keys) + len(hp))
+            size = np.repeat([SPAN, 0, -1], [len(p), len(keys), len(hp)])
+            columns = [pa.array(np.concatenate([p, keys, hp])), pa.array(doc.tolist() + blank, pa.int64()), pa.array(place.tolist() + blank, pa.int64()), pa.array(size), pa.array([None] * (len(p) + len(keys)) + sh, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "at", "size", "shingles"])
+
+    return df.mapInArrow(run, "key long, doc long, at long, size long, shingles binary")
+
+
+def offered(df: DataFrame, equal, near, wanted, documents) -> DataFrame:
+    """(key, doc, at) of the shingles in and about flagged paragraphs that are looked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
-        around = np.arange(1, REACH + 1)
-        for part in (batch.slice(low, 128) for batch in batches for low in range(0, batch.num_rows, 128)):
-            out: list[list] = [[], [], [], []]
-            keys = [np.zeros(0, np.int64)]
-            for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if d is None:
-                    continue
-                s = shingles_of(t)
-                at, sh = paragraphs(t, span, window, s=s)
-                if not len(at):
-                    continue
-                p = paragraph_ids(sh)
-                seed_at, seed = seeds(s)
-                a, b = marked(marks, p), marked(marks, seed)
-                at, p, seed_at, seed = at[a], p[a], seed_at[b], seed[b]
-                if len(seed):  # the outer seeds of runs of seeds that overlap or meet
-                    parted = seed_at[1:] > seed_at[:-1] + SEED
-                    left, right = np.concatenate([[True], parted]), np.concatenate([parted, [True]])
-                    found = [looked_up(seed[left], seed_at[left], -around[None, :], s), looked_up(seed[right], seed_at[right], around[None, :] + SEED - SHINGLE, s)]
-                    inner = np.zeros(len(s), bool)  # shingles that seeds hold need no look
-                    inner[seed_at[:, None] + np.arange(SEED - SHINGLE + 1)] = True
-                    keys += [key[~inner[place]] & ((1 << BITMAP) - 1) for key, place in found]
-                n = len(p) + len(seed)
-                for c, x in zip(out, (np.concatenate([p, seed]), np.full(n, d), np.concatenate([at, seed_at]), np.repeat([sh.shape[1] + SHINGLE - 1, SEED], [len(p), len(seed)])), strict=True):
-                    c.append(x)
-            columns = [pa.array([*np.concatenate([np.zeros(0, np.int64), *c]).tolist(), None], pa.int64()) for c in out]
-            packed = np.unique(np.concatenate(keys)).astype(np.uint32).tobytes()
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([None] * (len(columns[0]) - 1) + [packed], pa.binary())], names=["p", "doc", "at", "size", "keys"])
-
-    return df.select(id_col, text_col).mapInArrow(run, "p long, doc long, at long, size long, keys binary")
-
-
-def unpacked(rows: DataFrame) -> DataFrame:
-    """(p) of the packed keys."""
+        for flat in flats(batches, documents):
+            at = flat.paragraphs()
+            p = flat.names(at)
+            at = np.flatnonzero(flat.about(at[equal.holds(p) | near.holds(p)]))
+            at = at[wanted.holds(flat.s[at])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (flat.s[at].view(np.int64), *flat.places(at))], names=["key", "doc", "at"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.uint32).astype(np.int64))], names=["p"])
+    return df.mapInArrow(run, "key long, doc long, at long")
 
-    return rows.where("keys is not null").select("keys").mapInArrow(run, "p long")
 
+def intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    return edge[::2], edge[1::2]
 
-def extensions(df: DataFrame, classes: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(p, doc, at) of shingles about seeds of classes(p) whose key has its bit in the bitmap of keys(p)."""
-    shared, wanted = bitmap(classes, "p"), bitmap(keys, "p")
-    steps = np.concatenate([np.arange(-REACH, 0), np.arange(1, REACH + 1) + SEED - SHINGLE])[None, :]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, want = shared.value, wanted.value
-        for part in (batch.slice(low, 128) for batch in batches for low in range(0, batch.num_rows, 128)):
-            out: list[list] = [[], [], []]
-            for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if d is None:
-                    continue
-                s = shingles_of(t)
-                at, p = seeds(s)
-                b = marked(marks, p)
-                at, p = at[b], p[b]
-                for k in range(0, len(p), 2048):
-                    key, place = looked_up(p[k : k + 2048], at[k : k + 2048], steps, s)
-                    b = marked(want, key)
-                    for c, x in zip(out, (key[b], np.full(int(b.sum()), d), place[b]), strict=True):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], names=["p", "doc", "at"])
-
-    return df.select(id_col, text_col).mapInArrow(run, "p long, doc long, at long")
-
-
-def passages(at: np.ndarray, to: np.ndarray, core: np.ndarray, gone: np.ndarray, similarity: float) -> tuple[list, list, np.ndarray]:
-    """(repeated, removed, used): intervals of a document's words, and which of its places stand behind them."""
+def passages(doc: int, at: np.ndarray, size: np.ndarray, head: np.ndarray, head_at: np.ndarray, similarity: float) -> tuple[list, list, np.ndarray]:
+    """(repeated, removed, used) of the matched places of a document and their classes' first places.
+
+    repeated and removed are intervals of words; used tells the paragraphs that stand in a passage.
+    """
+    shift = head_at - at
+    order = np.lexsort((size, at, shift, head))
+    at_, to_, head_, shift_, size_ = at[order], (at + size)[order], head[order], shift[order], size[order]
+    # Segments: places that overlap or meet, of one other text at one distance.
+    new = starts(head_, shift_)
     low = int(at.min())
-    n = int(to.max()) - low
-    at, to = at - low, to - low
-
-    def covered(which: np.ndarray) -> np.ndarray:
-        return np.cumsum(np.bincount(at[which], minlength=n + 1) - np.bincount(to[which], minlength=n + 1))[:n] > 0
-
-    def intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-        return edge[::2], edge[1::2]
-
-    held, out = covered(np.ones(len(at), bool)), covered(gone)
-    a, b = intervals(held)
-    solid = np.bincount(np.searchsorted(a, at, side="right") - 1, core, len(a)) > 0
-    lost = np.concatenate([[0], np.cumsum(a[1:] - b[:-1] + SHINGLE - 1)])
-    long = np.concatenate([[0], np.cumsum(b - a >= LEAST)])
-    kept = np.zeros(n, bool)
-    for i in range(len(a)):
-        if solid[i]:
-            kept[a[i] : b[i]] = True
-        size, miss = b[i:] - a[i], lost[i:] - lost[i]
-        total = size - SHINGLE + 1
-        fits = np.flatnonzero((size > LONG) & (long[i + 1 :] > long[i]) & (total - miss >= similarity * (total + miss) - 1e-9))
-        if len(fits):
-            kept[a[i] : b[i + fits[-1]]] = True
-    for x, y in zip(b[:-1].tolist(), a[1:].tolist(), strict=True):  # changed words go with both sides
-        if kept[x] and out[x - 1] and out[y]:
-            out[x:y] = True
-    return [(x + low, y + low) for x, y in zip(*map(np.ndarray.tolist, intervals(kept)), strict=True)], [(x + low, y + low) for x, y in zip(*map(np.ndarray.tolist, intervals(kept & out)), strict=True)], kept[at]
+    n = int(to_.max()) - low
+    group = np.cumsum(new) * (n + 1)
+    top = np.maximum.accumulate(to_ - low + group) - group + low
+    new[1:] |= at_[1:] > top[:-1]
+    first = np.flatnonzero(new)
+    a, b = at_[first] - low, np.maximum.reduceat(to_, first) - low
+    seg_head, seg_shift = head_[first], shift_[first]
+    good = (np.maximum.reduceat(size_, first) >= SPAN) | (b - a >= SHORT)
+    if not good.any():
+        return [], [], np.zeros(len(at), bool)
+    if not good.all():  # short ones need a like neighbour
+        strong = np.flatnonzero(good)[np.argsort(a[good], kind="stable")]
+        weak = np.flatnonzero(~good)
+        spot = np.searchsorted(a[strong], a[weak])
+        for k in (-2, -1, 0, 1):
+            near = strong[np.clip(spot + k, 0, len(strong) - 1)]
+            good[weak] |= (seg_head[near] == seg_head[weak]) & (np.abs(seg_shift[near] - seg_shift[weak]) <= GAP)
+
+    def covered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.cumsum(np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1))[:n] > 0
+
+    other = (seg_head != doc) | (seg_shift != 0)
+    held = covered(a[good], b[good])
+    out = covered(a[good & other], b[good & other]) & ~covered(a[good & ~other], b[good & ~other])
+    x, y = intervals(held)
+    # A passage goes on while matched words outweigh changed ones: Jaccard (all - lost) / (all + lost) of its shingles.
+    gap = x[1:] - y[:-1]
+    lost = np.concatenate([[0.0], np.cumsum(gap + SHINGLE - 1 + 1e9 * (gap > GAP))]) * (1 + similarity) / (1 - similarity)
+    worth = np.maximum.accumulate((y - lost)[::-1])[::-1]
+    last = np.searchsorted(-worth, -(x + SHINGLE - 1 - lost) + 1e-6, side="right") - 1
+    last = np.maximum(last, np.arange(len(x)))
+    long = np.concatenate([[0], np.cumsum(y - x >= RUN)])
+    ok = (y[last] - x >= LEAST) & (long[last + 1] > long[:-1])
+    kept = covered(x[ok], y[last][ok])
+    for i, j in zip(y[:-1].tolist(), x[1:].tolist(), strict=True):  # changed words go with both sides
+        if kept[i] and out[i - 1] and out[j]:
+            out[i:j] = True
+    spans = [[(i + low, j + low) for i, j in zip(*map(np.ndarray.tolist, intervals(f)), strict=True)] for f in (kept, kept & out)]
+    return *spans, (size == SPAN) & kept[at - low]
 
 
 def assembled(per_doc: DataFrame, similarity: float) -> DataFrame:
-    """(doc, r, g, removed, heads) from doc, places(at, to, core, gone, head)."""
+    """(doc, r, g, removed, classes) from doc, places(at, size, head, head_at, class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"doc": [], "r": [], "g": [], "removed": [], "heads": []}
+            out: dict[str, list] = {"doc": [], "r": [], "g": [], "removed": [], "classes": []}
             lists = batch.column(1)
             for k, d in enumerate(batch.column(0).to_pylist()):
-                x = lists[k].values
-                at, to, head = (x.field(c).to_numpy() for c in ("at", "to", "head"))
-                core, gone = (x.field(c).to_numpy(zero_copy_only=False) for c in ("core", "gone"))
-                whole, less, used = passages(at, to, core, gone, similarity)
+                at, size, head, head_at, name = (c.to_numpy() for c in lists[k].values.flatten())
+                whole, less, used = passages(d, at, size, head, head_at, similarity)
                 if whole:
                     out["doc"].append(d)
                     out["r"].append(sum(y - x for x, y in whole))
                     out["g"].append(sum(y - x for x, y in less))
                     out["removed"].append(",".join(f"{x}:{y}" for x, y in less))
-                    out["heads"].append(np.unique(head[used]))
+                    out["classes"].append(np.unique(name[used]))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(v, c) for v, c in zip(out.values(), types, strict=True)], names=list(out))
 
-    return per_doc.select("doc", "places").mapInArrow(run, "doc long, r long, g long, removed string, heads array<long>")
+    return per_doc.select("doc", "places").mapInArrow(run, "doc long, r long, g long, removed string, classes array<long>")
 
 
-def deduplicate(df: DataFrame, span: int = 24, window: int = 24, n_bands: int = 6, band_rows: int = 2, similarity: float = 0.8, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(df: DataFrame, n_bands: int = 3, band_rows: int = 2, similarity: float = 0.8, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id, n_repeat_words, n_removed_words, removed) for every row of df.
 
     component_id is the smallest id reachable through shared passages; n_repeat_words counts words in passages that have
     more than one place, n_removed_words those of them that are not in a class's first; removed lists the latter as
     first:last words from 0, last exclusive, comma-joined.
     """
-    how = (id_col, text_col, span, window, n_bands, band_rows)
-    names = [f"b{k}" for k in range(n_bands)]
-    full = paragraph_rows(df, ["p", "doc", "at"], *how)
-    distinct = full.groupBy("p").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
-    most_bits = allowed(similarity, span - SHINGLE + 1)
-    # Near-copies: bands of distinct paragraphs.
-    bucketed = paragraph_rows(df, ["p", *names, "sketch"], *how).distinct().select(F.explode(F.array(*names)).alias("bucket"), "p", "sketch")
-    held = checkpoint(members(bucketed, ["p", "sketch"], partnered(most_bits), most, checkpoint).distinct())
-    shingles = candidate_shingles(df, held.select("p").distinct(), text_col, span, window)
-    links = met(held.join(shingles, "p"), ["p", "shingles"], verified(similarity, most_bits), "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-    component = connected_components(links)
+    texts = df.select(id_col, text_col)
+    most_bits = allowed(similarity, WIDTH)
+    hits = bitmap(stored(collisions(texts, n_bands, band_rows)), "bucket")
+    rows = colliding(texts, hits, n_bands, band_rows)
+    held = stored(members(rows, ["p", "sketch", "n"], partnered(most_bits), most, stored, ["n"], folded))
+    pairs = held.where("n <> 2")
+    equal, near = bitmap(held.where("n > 1"), "p"), bitmap(pairs, "p")
+    found = stored(flagged(texts, equal, near))
+    paragraphs = found.where(f"size = {SPAN}").select("key", "doc", "at", "size")
+    # Near-copied paragraphs, verified.
+    shingles = found.where("size = -1").groupBy(F.col("key").alias("p")).agg(F.first("shingles").alias("shingles"))
+    together = pairs.select("key", "p").distinct().join(shingles, "p")
+    component = connected_components(met(together, ["p", "shingles"], verified(similarity, most_bits), "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())])))
+    # Shingles that are looked for, in flagged documents.
+    documents = bitmap(stored(paragraphs.select("doc").distinct()), "doc")
+    more = stored(offered(texts, equal, near, bitmap(found.where("size = 0"), "key"), documents))
+    every = paragraphs.unionByName(more.withColumn("size", F.lit(SHINGLE).cast("long")))
     # Classes of more than one place, each with its first.
-    classed = checkpoint(distinct.join(component, F.col("p") == F.col("node"), "left").where("n > 1 or component is not null").select("p", "first", "component"))
-    linked = classed.where("component is not null")
-    heads = linked.groupBy("component").agg(F.min("first").alias("head"))
-    classes = checkpoint(classed.where("component is null").select("p", F.col("first").alias("head")).unionByName(linked.join(heads, "component").select("p", "head")))
-    rows = checkpoint(matched_rows(df, classes, id_col, text_col, span, window))
-    more = extensions(df, classes, unpacked(rows), id_col, text_col).repartition("p")
     here = F.struct("doc", "at")
-    again = more.groupBy("p").agg(F.min(here).alias("head"), F.max(here).alias("last")).where("head <> last").select("p", "head")
-    places = rows.where("keys is null").join(classes, "p").select("doc", "at", "size", "head", (F.col("size") != SEED).alias("core"))
-    places = places.unionByName(more.join(again, "p").select("doc", "at", F.lit(SHINGLE).cast("long").alias("size"), "head", F.lit(False).alias("core")))
-    gone = ~((F.col("doc") == F.col("head.doc")) & (F.col("at") == F.col("head.at")))
-    places = places.groupBy("doc", "at", "size", "core").agg(F.max(gone).alias("gone"), F.min("head.doc").alias("head"))
-    per_doc = places.groupBy("doc").agg(F.collect_list(F.struct("at", (F.col("at") + F.col("size")).alias("to"), "core", "gone", "head")).alias("places"))  # a document's own places
-    found = checkpoint(assembled(per_doc, similarity))
-    groups = connected_components(found.select(F.col("doc").alias("a"), F.explode("heads").alias("b")))
+    heads = every.groupBy("key").agg(F.min(here).alias("head"), F.max(here).alias("last"))
+    classed = heads.join(component, F.col("key") == F.col("node"), "left").where("head <> last or component is not null")
+    classed = stored(classed.select("key", "component", F.col("head.doc").alias("head"), F.col("head.at").alias("head_at")))
+    linked = classed.where("component is not null")
+    least = linked.groupBy("component").agg(F.min(F.struct("head", "head_at")).alias("h"))
+    linked = linked.select("key", "component").join(least, "component").select("key", F.col("component").alias("name"), "h.head", "h.head_at")
+    named = classed.where("component is null").select("key", F.col("key").alias("name"), "head", "head_at").unionByName(linked)
+    places = every.join(named, "key").select("doc", F.struct("at", "size", "head", "head_at", "name").alias("place"))
+    per_doc = places.groupBy("doc").agg(F.collect_list("place").alias("places"))  # a document's own places
+    found = stored(assembled(per_doc, similarity))
+    # Documents whose passages hold paragraphs of one class.
+    pairs = found.select("doc", F.explode("classes").alias("name"))
+    shared = stored(pairs.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least <> last"))
+    groups = connected_components(pairs.join(shared, "name").select(F.col("doc").alias("a"), F.col("least").alias("b")))
     found = found.join(groups, found.doc == groups.node, "left").select("doc", "component", "r", "g", "removed")
     out = df.select(F.col(id_col).alias("_id")).join(found, F.col("_id") == found.doc, "left")
     return out.select(

@@ -12,6 +12,8 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from kinmatch.llm import byte_bpe, decontamination, language_id, licences, line_dedup, pii, quality, simhash, substring_dedup, token_counts
@@ -502,3 +504,52 @@ def test_language_id(spark, docs, rows, empty):
     assert len(out) == len(rows) and all(0 <= x.score <= 1 for x in out)
     none = language_id.fit(empty)
     assert {x.lang_pred for x in language_id.predict(docs, none).collect()} == {"und"} and language_id.predict(empty, model).count() == 0
+
+
+def test_near_copies_by_brute_force(spark):
+    """Recall of near-copied passages of over 50 words at five-word Jaccard 0.8 or more, in other texts, and clean words."""
+    r = random.Random(33)
+    fresh = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    texts, want = [], []
+    while len(want) < 200:
+        one = fresh(r.randint(51, 160))
+        two = list(one)
+        for _ in range(r.randint(1, 3)):
+            p, what = r.randrange(len(two)), r.random()
+            two[p : p + 1] = fresh(1) if what < 0.4 else [] if what < 0.7 else [two[p], *fresh(1)]
+        same, union = len(w5(one) & w5(two)), len(w5(one) | w5(two))
+        if same >= 0.8 * union:
+            want.append((len(texts), len(texts) + 1))
+            texts += [" ".join(fresh(r.randint(0, 70)) + x + fresh(r.randint(0, 70))) for x in (one, two)]
+    clean = len(texts)
+    texts += [" ".join(fresh(r.randint(40, 300))) for _ in range(50)]
+    found = by_id(substring_dedup.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    linked = [found[b].component_id == a and found[a].n_repeat_words >= 40 and found[b].n_removed_words >= 40 for a, b in want]
+    assert sum(linked) >= 0.95 * len(want)
+    assert all(found[k].component_id == k - (k < clean) * (k % 2) or not linked[k // 2] for k in range(clean))
+    assert not any(found[k].n_repeat_words for k in range(clean, len(texts)))
+
+
+def test_removals_leave_the_first_place(spark):
+    one = " ".join(f"p{k}" for k in range(60))
+    texts = ["la " * 400, one + " end", "start here " + one, None, "", "la " * 30, one]
+    rows = [*enumerate(texts), (6, one), (None, one)]
+    found = substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {x.doc_id: (x.component_id, x.n_repeat_words, x.removed) for x in found}
+    assert len(found) == len(rows)
+    assert got == {0: (0, 400, "16:400"), 1: (1, 60, ""), 2: (1, 60, "2:62"), 3: (3, 0, ""), 4: (4, 0, ""), 5: (5, 0, ""), 6: (1, 60, "0:60"), None: (None, 0, "")}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 200), st.sampled_from((5, 16)), st.integers(0, 3), st.integers(-3, 3)), min_size=1, max_size=60))
+def test_passages_hold_their_definition(rows):
+    at, size, head, shift = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    whole, less, used = substring_dedup.passages(0, at, size, head, at + shift, 0.8)
+    word = {k for a, n in zip(at.tolist(), size.tolist(), strict=True) for k in range(a, a + n)}
+    for x, y in whole:
+        assert y - x >= substring_dedup.LEAST and x in word and y - 1 in word
+        gaps = "".join("x" if k in word else " " for k in range(x, y)).split("x")
+        assert max(map(len, gaps)) <= substring_dedup.GAP
+    inside = {k for x, y in whole for k in range(x, y)}
+    assert all(set(range(x, y)) <= inside for x, y in less)
+    assert all(n == 16 and a in inside for a, n, u in zip(at.tolist(), size.tolist(), used.tolist(), strict=True) if u)
