@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,22 +38,33 @@ def bitmap(rows: DataFrame, column: str, per_value: int = 32) -> Bitmap:
     """
     n = rows.count()
     bits = min(MOST_BITS, max(LEAST_BITS, (per_value * n).bit_length()))
-    mask, x = (1 << bits) - 1, F.col(column)
-    both = F.explode(F.array(x.bitwiseAND(mask), F.shiftrightunsigned(x, SECOND).bitwiseAND(mask)))
-    places = rows.where(x.isNotNull()).select(both.alias("k")).withColumn("block", F.shiftright("k", BLOCK))
+    mask, size = np.uint64((1 << bits) - 1), 1 << (BLOCK - 3)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places of bits as blocks and two bytes within them."""
+        held: list[np.ndarray] = []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                x = batch.column(0).to_numpy().view(np.uint64)
+                held += [x & mask, x >> np.uint64(SECOND) & mask]
+            if held and (batch is None or sum(map(len, held)) > 1 << 22):
+                k = np.unique(np.concatenate(held)).view(np.int64)
+                held = []
+                parts = np.split(k, np.flatnonzero(np.diff(k >> BLOCK)) + 1) if len(k) else []
+                blocks = [int(part[0] >> BLOCK) for part in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([p.astype(np.uint16).tobytes() for p in parts], pa.binary())], names=["block", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, np.ndarray] = {}
         for batch in batches:
-            k = np.unique(batch.column(0).to_numpy())
-            for part in np.split(k, np.flatnonzero(np.diff(k >> BLOCK)) + 1):
-                if len(part):
-                    blocks.setdefault(int(part[0] >> BLOCK), np.zeros(1 << BLOCK, bool))[part & ((1 << BLOCK) - 1)] = True
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                blocks.setdefault(block, np.zeros(1 << BLOCK, bool))[np.frombuffer(packed, np.uint16)] = True
         packed = [np.packbits(b, bitorder="little").tobytes() for b in blocks.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array(packed, pa.binary())], names=["block", "bits"])
 
+    schema = "block long, bits binary"
+    places = rows.where(F.col(column).isNotNull()).select(column).mapInArrow(cut, schema).repartition("block")
     out = np.zeros(1 << (bits - 3), np.uint8)
-    size = 1 << (BLOCK - 3)
-    for block, packed in places.repartition("block").select("k").mapInArrow(run, "block long, bits binary").collect():
+    for block, packed in places.mapInArrow(join, schema).collect():
         out[block * size : (block + 1) * size] = np.frombuffer(packed, np.uint8)
     return Bitmap(rows.sparkSession.sparkContext.broadcast(out), 2 << bits < per_value * n)

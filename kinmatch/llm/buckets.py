@@ -91,16 +91,16 @@ def met_once(rows: DataFrame, columns: list[str], work: Callable[[pa.Table], dic
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 
 
-def members(rows: DataFrame, columns: list[str], work: Callable[[pa.Table], dict], most: int, keep: Callable[[DataFrame], DataFrame], also: list[str] | None = None, fold: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
+def members(rows: DataFrame, columns: list[str], work: Callable[[pa.Table], dict], most: int, keep: Callable[[DataFrame], DataFrame], also: list[str] | None = None, fold: Callable[[pa.Table], pa.Table] | None = None, work_large: Callable[[pa.Table], dict] | None = None) -> DataFrame:
     """(key, member) of what ``work`` holds in all buckets, large ones too, and the columns ``also`` of its result.
 
-    ``keep`` stores a table that is read twice.
+    ``keep`` stores a table that is read twice; ``work_large`` is for the parts of large buckets, if not the same.
     """
     names = ["key", columns[0], *(also or [])]
     first = keep(met_once(rows, columns, work, most, fold))
     large = dealt(first.where("large").drop("large").withColumnRenamed("key", "bucket"), columns[0], most)
     types = dict(rows.dtypes) | {"key": "bigint"}
-    out = met(large, columns, work, ", ".join(f"{c} {types[c]}" for c in names), pa.schema([(c, ARROW[types[c]]) for c in names]))
+    out = met(large, columns, work_large or work, ", ".join(f"{c} {types[c]}" for c in names), pa.schema([(c, ARROW[types[c]]) for c in names]))
     return first.where("not large").select(names).unionByName(out)
 
 

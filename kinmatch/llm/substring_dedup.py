@@ -28,12 +28,12 @@ flagged documents alone, what is looked for. What a pass needs of the one before
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,19 +53,6 @@ WIDTH = SPAN - SHINGLE + 1
 ODD = np.random.RandomState(11).randint(0, 2**32, (64, 2), dtype=np.uint64) @ np.array([1 << 32, 1], np.uint64) | np.uint64(1)
 
 
-class Words(dict):
-    """A 64-bit hash of each word; those of short words stay."""
-
-    def __missing__(self, w: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(w)
-        if len(w) <= 64:
-            self[w] = h
-        return h
-
-
-_WORDS = Words()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     return x ^ (x >> np.uint64(29))
@@ -82,7 +69,10 @@ def extreme(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
 
 
 class Flat:
-    """The texts of ``LEAST`` words or more one after another: a shingle's hash at every word's place."""
+    """The texts of ``LEAST`` words or more one after another: a shingle's hash at every word's place.
+
+    Words are hashed by Python's own 64-bit hash of bytes, which Spark seeds alike in all workers.
+    """
 
     def __init__(self, ids: list[int], lists: list[list[bytes]]):
         self.ids = np.array(ids, np.int64)
@@ -90,9 +80,7 @@ class Flat:
         self.ends = np.cumsum(n)
         self.begin = self.ends - n
         size = int(n.sum())
-        if len(_WORDS) > 400_000:
-            _WORDS.clear()
-        w = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(lists)), np.uint64, size)
+        w = np.fromiter(map(hash, chain.from_iterable(lists)), np.int64, size).view(np.uint64)
         self.doc = np.repeat(np.arange(len(n)), n)
         #: Words from a place to its text's end. What reaches further is no shingle, paragraph or window.
         self.left = self.ends[self.doc] - np.arange(size)
@@ -150,6 +138,8 @@ class Flat:
 
 def flats(batches: Iterator[pa.RecordBatch], only=None, most_chars: int = 1 << 21) -> Iterator[Flat]:
     """Slices of batches(id, text) of a bounded number of characters, or one text; ``only`` tells ids that are wanted."""
+    if os.environ.get("PYTHONHASHSEED", "random") == "random":
+        raise RuntimeError("workers hash words alike only under one PYTHONHASHSEED, which Spark sets")
     for batch in batches:
         ids, lists, size = [], [], 0
         wanted = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -169,11 +159,11 @@ def flats(batches: Iterator[pa.RecordBatch], only=None, most_chars: int = 1 << 2
 
 
 def bands(shingles: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
-    """Bucket numbers, band by band."""
+    """Bucket numbers, band by band; the last two bits are the band's."""
     out = []
     for b in range(n_bands):
         least = [(shingles * ODD[40 + b * rows + r]).min(axis=1) for r in range(rows)]
-        out.append(mixed(sum((v * ODD[20 + k] for k, v in enumerate(least)), np.uint64(b))).view(np.int64))
+        out.append((mixed(sum((v * ODD[20 + k] for k, v in enumerate(least)), np.uint64(b))) & ~np.uint64(3) | np.uint64(b & 3)).view(np.int64))
     return np.concatenate(out)
 
 
@@ -247,8 +237,11 @@ def allowed(similarity: float, size: int) -> int:
     return int((1 - similarity) * 2 * size / (1 + similarity) + 1e-9)
 
 
-def partnered(most_bits: int):
-    """Of the paragraphs of each key those with a partner that the sketches allow (n 1), those with two places (n 2), or both (n 3)."""
+def partnered(most_bits: int, buckets: bool = True):
+    """Of the paragraphs of each key those with a partner that the sketches allow (n 1), those with two places (n 2), or both (n 3).
+
+    Equal paragraphs meet in every band: if keys are ``buckets``, those without a partner are told in the first alone.
+    """
 
     def work(part: pa.Table) -> dict:
         key, p, sketch, n = (c.to_numpy() for c in folded(part.select(["key", "p", "sketch", "n"])).columns)
@@ -261,7 +254,7 @@ def partnered(most_bits: int):
             ok = np.bitwise_count(sketch[i] ^ sketch[j]) <= most_bits
             near[i[ok]] = near[j[ok]] = True
         what = near + 2 * (n > 1)
-        held = what > 0
+        held = near | ((n > 1) & ((key & 3 == 0) | (not buckets)))
         return {"key": key[held], "p": p[held], "n": what[held]}
 
     return work
@@ -321,15 +314,22 @@ def flagged(df: DataFrame, equal, near) -> DataFrame:
 
 
 def offered(df: DataFrame, equal, near, wanted, documents) -> DataFrame:
-    """(key, doc, at) of the shingles in and about flagged paragraphs that are looked for."""
+    """(key, doc, at) of the shingles in and about flagged paragraphs that are looked for; of those within chains of equal
+    paragraphs, which need no match themselves, the first place in a slice of texts is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for flat in flats(batches, documents):
             at = flat.paragraphs()
             p = flat.names(at)
-            at = np.flatnonzero(flat.about(at[equal.holds(p) | near.holds(p)]))
+            e = equal.holds(p)
+            low, high, _ = flat.chains(at[e] if not equal.full else at[:0])
+            at = np.flatnonzero(flat.about(at[e | near.holds(p)]))
             at = at[wanted.holds(flat.s[at])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (flat.s[at].view(np.int64), *flat.places(at))], names=["key", "doc", "at"])
+            key, doc, place = flat.s[at].view(np.int64), *flat.places(at)
+            inner = flat.within(low, high - SHINGLE + 1)[at]
+            order = np.flatnonzero(inner)[np.lexsort((place[inner], doc[inner], key[inner]))]
+            inner[order[starts(key[order])]] = False
+            yield pa.RecordBatch.from_arrays([pa.array(c[~inner]) for c in (key, doc, place)], names=["key", "doc", "at"])
 
     return df.mapInArrow(run, "key long, doc long, at long")
 
@@ -424,7 +424,7 @@ def deduplicate(df: DataFrame, n_bands: int = 3, band_rows: int = 2, similarity:
     most_bits = allowed(similarity, WIDTH)
     hits = bitmap(stored(collisions(texts, n_bands, band_rows)), "bucket")
     rows = colliding(texts, hits, n_bands, band_rows)
-    held = stored(members(rows, ["p", "sketch", "n"], partnered(most_bits), most, stored, ["n"], folded))
+    held = stored(members(rows, ["p", "sketch", "n"], partnered(most_bits), most, stored, ["n"], folded, partnered(most_bits, False)))
     pairs = held.where("n <> 2")
     equal, near = bitmap(held.where("n > 1"), "p"), bitmap(pairs, "p")
     found = stored(flagged(texts, equal, near))
