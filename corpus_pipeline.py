@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.llm import byte_bpe, decontamination, line_dedup, quality, simhash
-from kinmatch.llm.common import checkpoint, table
+from kinmatch.llm.common import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or a learned rule rejects go."""
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, rules).where("kept").select(docs.columns)
+    return quality.keep(docs, rules)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,24 +26,24 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts one row stays, that of the smallest id; one without an id if a group has no other.
+    """Of each group of linked fingerprints one row stays, that of the smallest id; one without an id if a group has no other.
 
-    Groups are of fingerprints, not of ids: rows that share an id or have none are told apart by their texts.
+    Groups are of fingerprints, not of ids: rows that share an id or have none are told apart by their texts. Of rows of
+    one id and fingerprint one stays, the same on every run unless they are equal throughout.
     """
-    prints = simhash.with_fingerprints(docs, "_print").withColumn("_row", F.xxhash64(*docs.columns))
-    rows = checkpoint(prints.select("doc_id", "_print", "_row"))
-    texts = rows.select(F.col("_print").alias("print"), F.col("_print").alias("least")).distinct()
-    component = simhash.print_components(texts)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_print", "_row")
-    first = rows.join(component, F.col("_print") == F.col("node"), "left").groupBy(F.coalesce("component", "_print")).agg(F.min(order).alias("first"))
-    stay = first.select(F.col("first._print").alias("_print"), F.col("first._row").alias("_row"))
-    return prints.join(stay, ["_print", "_row"], "left_semi").dropDuplicates(["_print"]).select(docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    prints = simhash.with_fingerprints(whole, "print").withColumn("hash", F.xxhash64("row"))
+    rows = stored(prints.select("id", "print", "hash"))
+    component = simhash.print_components(rows.select("print").distinct())
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "print", "hash")
+    first = rows.join(component, F.col("print") == F.col("node"), "left").groupBy(F.coalesce("component", "print")).agg(F.min(order).alias("first"))
+    stay = first.select("first.print", "first.hash")
+    return prints.join(stay, ["print", "hash"], "left_semi").dropDuplicates(["print", "hash"]).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with an occurrence of a benchmark window go."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return found.where("not contaminated").select(docs.columns)
+    """Documents with an occurrence of a benchmark window go; null texts have none and stay."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), clean=True)
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
-            docs = checkpoint(docs)
+            docs = stored(docs)
     return docs

@@ -29,7 +29,7 @@ class Bitmap:
         return out
 
 
-def bitmap(rows: DataFrame, column: str, per_value: int = 32) -> Bitmap:
+def bitmap(rows: DataFrame, column: str, per_value: int = 16) -> Bitmap:
     """A bitmap of a long column of a stored table; nulls are left out.
 
     It has ``per_value`` bits or more for each row, 128 KB at least and 128 MB at most; ``full`` tells that the bound left

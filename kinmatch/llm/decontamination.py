@@ -5,8 +5,9 @@ one length share a table: the ids of each block of two neighbouring words give t
 block with a pattern; a block in no pattern lets the search skip the whole window less one word. Where the shift is zero,
 the patterns of that suffix block are compared with the words directly.
 
-The benchmark is a stated query set: it is split into blocks of at most ``block_windows`` windows, which are broadcast one
-by one; each task searches every block, so no document is shuffled and the size of a broadcast is bounded.
+The benchmark is a stated query set: it is split into blocks of at most ``block_windows`` windows, of which a ``group`` at a
+time is broadcast and kept as tables by workers, so that what is broadcast and kept is bounded. A pass over the texts
+searches a group; no document is shuffled. Between groups the rows are stored with their hits so far.
 
 Null texts have no words. An item with a null id counts for hits, not for ids; repeated items count once by id. Every
 document row gives a row, also repeated ones; columns of df other than the id and the text are not returned.
@@ -16,10 +17,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
 
 #: A-Z to a-z; of ASCII, all but digits and letters part words. Bytes over 0x7F belong to words.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -93,64 +98,74 @@ def pattern_blocks(benchmark: DataFrame, window: int, block_windows: int, id_col
         yield block
 
 
+RESULTS = ("n_words", "n_hit", "n_items", "item_ids", "contaminated")
 _MACHINES: dict[int, WuManber] = {}
 
 
-def machine(block) -> WuManber:
-    """The machine of a broadcast block; a worker keeps one."""
-    if block._jbroadcast_id not in _MACHINES:
+def machines(blocks: list) -> list[WuManber]:
+    """The machines of a group of broadcast blocks; a worker keeps those of one group."""
+    if _MACHINES.keys() - {k for k, _ in blocks}:
         _MACHINES.clear()
-        _MACHINES[block._jbroadcast_id] = WuManber(block.value)
-    return _MACHINES[block._jbroadcast_id]
-
-
-class Block:
-    """A broadcast with an id that workers can use as a key."""
-
-    def __init__(self, spark, patterns: dict):
-        self.broadcast = spark.sparkContext.broadcast(patterns)
-        self._jbroadcast_id = self.broadcast._jbroadcast.id()
-
-    def __getstate__(self):
-        return {"broadcast": self.broadcast, "_jbroadcast_id": self._jbroadcast_id}
-
-    @property
-    def value(self) -> dict:
-        return self.broadcast.value
+    for k, shared in blocks:
+        if k not in _MACHINES:
+            _MACHINES[k] = WuManber(shared.value)
+    return [_MACHINES[k] for k, _ in blocks]
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 10, block_windows: int = 100_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id, n_words, n_hit, n_items, item_ids, contaminated), and with ``keep`` those columns of df too."""
-    spark = df.sparkSession
-    blocks = [Block(spark, b) for b in pattern_blocks(benchmark, window, block_windows, item_id, item_text)]
-    keep = keep or []
-    own = df.select(id_col, text_col, *[c for c in keep if c not in (id_col, text_col)])
-    arrow_out = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("item_ids", pa.list_(pa.string())), ("contaminated", pa.bool_())]
+def searched(df: DataFrame, blocks: list, last: bool) -> DataFrame:
+    """df(row, text, hits, items) with the hits of a group of blocks: bits of words and item ids; ``last`` makes figures of them."""
+    arrow = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("item_ids", pa.list_(pa.string())), ("contaminated", pa.bool_())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = [words(t) for t in batch.column(1).to_pylist()]
-                hit: list[np.ndarray | None] = [None] * len(texts)
-                items: list[set] = [set() for _ in texts]
-                for b in blocks:
-                    search = machine(b).search
+                hit = [None if h is None else np.unpackbits(np.frombuffer(h, np.uint8), count=len(t)).astype(bool) for h, t in zip(batch.column(2).to_pylist(), texts, strict=True)]
+                items = [set(x or ()) for x in batch.column(3).to_pylist()]
+                for m in machines(blocks):
                     for i, t in enumerate(texts):
-                        for start, m, found in search(t):
+                        for start, n, found in m.search(t):
                             if hit[i] is None:
                                 hit[i] = np.zeros(len(t), bool)
-                            hit[i][start : start + m] = True
-                            items[i].update(x for x in found if x is not None)
-                n_hit = [0 if h is None else int(h.sum()) for h in hit]
-                out = [[len(t) for t in texts], n_hit, [len(s) for s in items], [sorted(map(str, s)) for s in items], [n > 0 for n in n_hit]]
-                columns = batch.columns if keep else batch.columns[:1]
-                names = batch.schema.names if keep else batch.schema.names[:1]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, t) for x, (_, t) in zip(out, arrow_out, strict=True))], names=[*names, *(n for n, _ in arrow_out)])
-
-    head = own if keep else own.select(id_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head.schema)
-    return own.mapInArrow(run, f"{schema}, n_words long, n_hit long, n_items long, item_ids array<string>, contaminated boolean")
+                            hit[i][start : start + n] = True
+                            items[i].update(str(x) for x in found if x is not None)
+                if last:
+                    n_hit = [0 if h is None else int(h.sum()) for h in hit]
+                    out = [[len(t) for t in texts], n_hit, [len(x) for x in items], [sorted(x) for x in items], [n > 0 for n in n_hit]]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, (_, t) in zip(out, arrow, strict=True))], names=["row", *(n for n, _ in arrow)])
+                else:
+                    packed = pa.array([None if h is None else np.packbits(h).tobytes() for h in hit], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed, pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["row", "text", "hits", "items"])
+
+    row = df.schema["row"].dataType
+    figures = ", n_words long, n_hit long, n_items long, item_ids array<string>, contaminated boolean"
+    return df.mapInArrow(run, f"row {row.simpleString()}" + (figures if last else ", text string, hits binary, items array<string>"))
+
+
+def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 10, block_windows: int = 100_000, group: int = 8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, clean: bool = False) -> DataFrame:
+    """(id, n_words, n_hit, n_items, item_ids, contaminated) for every row of df.
+
+    With ``keep`` those columns of df stand for the id; such as have a result's name give way to it. With ``clean`` the
+    result is instead the rows of df, with all their columns as they are, that are not contaminated.
+    """
+    sc = df.sparkSession.sparkContext
+    head = df.columns if clean else [c for c in keep or [id_col] if c not in RESULTS]
+    row = F.struct(*(F.col(f"`{c}`") for c in head))
+    out = df.select(row.alias("row"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    blocks = pattern_blocks(benchmark, window, block_windows, item_id, item_text)
+    some = list(islice(blocks, group))
+    while True:
+        shared = [(b._jbroadcast.id(), b) for b in map(sc.broadcast, some)]
+        some = list(islice(blocks, group))
+        out = searched(out, shared, not some)
+        if not some:
+            break
+        out = stored(out)  # a pass of its own, after which these blocks go
+        for _, b in shared:
+            b.destroy()
+    out = out.where("not contaminated").select("row.*") if clean else out.select("row.*", *RESULTS)
+    return out
 
 
 def items_digest(item_ids: list[str]) -> str:

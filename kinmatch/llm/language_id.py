@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 16
-WORDS = re.compile(r"[^\W\d_]+").findall
+RUNS = re.compile(r"[^\W\d_]+").findall
 #: First code points of ranges of scripts, in order; what lies between named ranges is "other".
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -36,6 +36,14 @@ STARTS = np.array([s for s, _ in SCRIPTS])
 CODES = np.array([NAMES.index(n) for _, n in SCRIPTS])
 
 
+def letters(text: str) -> list[str]:
+    """Runs of letters in lower case; numerals that are no digits, such as fractions and Roman ones, are no letters."""
+    found = RUNS(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """n-gram bins of all words one after another, where each word's begin, and each word's script."""
     raw = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -150,7 +158,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, np.ndarray]]:
         """(language, score, the language number of each word) of each text."""
-        lists = [WORDS((t or "").lower()) for t in texts]
+        lists = [letters(t or "") for t in texts]
         if not self.languages:
             return [("und", 0.0, np.zeros(len(w), np.uint8)) for w in lists]
         out = []
@@ -174,7 +182,7 @@ def fit(df: DataFrame, most_docs: int = 4000, id_col: str = "doc_id", text_col:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if words := WORDS(text.lower()):
+                if words := letters(text):
                     bins, _, scripts = features(words)
                     c = counts.setdefault(lang, np.zeros((1 << BITS) + len(NAMES), np.int64))
                     c[: 1 << BITS] += np.bincount(bins, minlength=1 << BITS)

@@ -25,10 +25,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap
 from .buckets import Forest, close_pairs, members, met
-from .common import checkpoint, connected_components
-
-BITMAP = 22  # bits of the number of a place in the bitmap of candidate lines: 4 M places, 512 KB
+from .common import connected_components, stored
 
 
 def lines(text: str | None, min_chars: int) -> Iterator[tuple[int, str]]:
@@ -171,18 +170,18 @@ def bucket_rows(df: DataFrame, text_col: str, edits: int, min_chars: int) -> Dat
     """(bucket, line, size, hist, own) of the distinct lines of each partition; ``own``: a segment of the line itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 ids, raws, buckets, counts, own_counts = [], [], [], [], []
                 for t in batch.column(0).slice(at, 256).to_pylist():
                     for _, line in lines(t, min_chars):
-                        h, _ = line_id(line)
-                        if h in seen:
+                        both = h, _ = line_id(line)
+                        if both in seen:
                             continue
                         if len(seen) >= 1_000_000:  # bounded; a line met again later is only dealt again
                             seen.clear()
-                        seen.add(h)
+                        seen.add(both)
                         raw = line.encode("utf-32-le")
                         own, probes = signatures(raw, len(raw) // 4, edits, min_chars)
                         ids.append(h)
@@ -223,67 +222,62 @@ def partnered(edits: int):
 
 
 def verified(edits: int):
-    """Links of a forest among the lines of each key, by their texts."""
+    """Links of a forest among the lines of each key, by their texts; lines are told apart by both halves of their hash."""
 
     def work(part: pa.Table) -> dict:
-        key, line = part.column("key").to_numpy(), part.column("line").to_numpy()
+        key, line, more = (part.column(k).to_numpy() for k in ("key", "line", "more"))
         texts = part.column("text").to_pylist()
         size = np.array([len(t) for t in texts])
         hist = histograms([t.encode("utf-32-le") for t in texts])
         order = np.lexsort((size, key))
-        key, line, size, hist, texts = key[order], line[order], size[order], hist[order], [texts[i] for i in order]
+        key, line, more, size, hist, texts = key[order], line[order], more[order], size[order], hist[order], [texts[i] for i in order]
         forest, a, b = Forest(len(key)), [], []
         for i, j in close_pairs(key, size, edits, forest):
             ok = histogram_distance(hist[i], hist[j]) <= 2 * edits
             for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                if line[x] != line[y] and forest.root(x) != forest.root(y) and within(texts[x], texts[y], edits):
+                if (line[x] != line[y] or more[x] != more[y]) and forest.root(x) != forest.root(y) and within(texts[x], texts[y], edits):
                     forest.join(x, y)
-                    a.append(line[x])
-                    b.append(line[y])
+                    a.append({"h1": line[x], "h2": more[x]})
+                    b.append({"h1": line[y], "h2": more[y]})
         return {"a": a, "b": b}
 
     return work
 
 
 def candidate_texts(df: DataFrame, members: DataFrame, text_col: str, min_chars: int) -> DataFrame:
-    """(line, text) of lines whose hash has its bit in a bitmap of fixed size made from members(line)."""
-    word = F.col("line").bitwiseAND((1 << BITMAP) - 1)
-    words = members.select(F.shiftright(word, 6).alias("w"), F.expr(f"shiftleft(1L, cast((line & {(1 << BITMAP) - 1}) & 63 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).collect()
-    bits = np.zeros(1 << (BITMAP - 6), np.int64)
-    for w, v in words:
-        bits[w] = v
-    shared = df.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+    """(line, more, text) of the lines of members(line), a stored table, and of others that its bitmap lets pass."""
+    marked = bitmap(members, "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked, mask = shared.value, (1 << BITMAP) - 1
         for batch in batches:
-            found = {}
-            for t in batch.column(0).to_pylist():
-                for _, line in lines(t, min_chars):
-                    h, _ = line_id(line)
-                    if marked[h & mask]:
-                        found[h] = line
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["line", "text"])
+            for at in range(0, batch.num_rows, 256):
+                found = {line_id(line): line for t in batch.column(0).slice(at, 256).to_pylist() for _, line in lines(t, min_chars)}
+                h = np.array([x for x, _ in found], np.int64)
+                keep = np.flatnonzero(marked.holds(h)).tolist()
+                ids, texts = list(found), list(found.values())
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k][0] for k in keep], pa.int64()), pa.array([ids[k][1] for k in keep], pa.int64()), pa.array([texts[k] for k in keep], pa.string())], names=["line", "more", "text"])
 
-    return df.select(text_col).mapInArrow(run, "line long, text string").groupBy("line").agg(F.min("text").alias("text"))
+    return df.select(text_col).mapInArrow(run, "line long, more long, text string").groupBy("line", "more").agg(F.min("text").alias("text"))
 
 
 def links(df: DataFrame, edits: int = 2, min_chars: int = 16, text_col: str = "text", most: int = 2048) -> DataFrame:
-    """(a, b): hashes of lines within ``edits`` edits, enough to give the classes."""
-    found = members(bucket_rows(df, text_col, edits, min_chars), ["line", "size", "hist", "own"], partnered(edits), most, checkpoint)
-    held = checkpoint(found.distinct())
-    texts = candidate_texts(df, held.select("line").distinct(), text_col, min_chars)
-    together = held.join(texts, "line").select("key", "line", "text")
-    return met(together, ["line", "text"], verified(edits), "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    """(a, b): 128-bit hashes, as (h1, h2), of lines within ``edits`` edits, enough to give the classes."""
+    found = members(bucket_rows(df, text_col, edits, min_chars), ["line", "size", "hist", "own"], partnered(edits), most, stored)
+    held = stored(found.distinct())
+    texts = candidate_texts(df, held, text_col, min_chars)
+    together = held.join(texts, "line").select("key", "line", "more", "text")
+    one = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
+    return met(together, ["line", "more", "text"], verified(edits), "a struct<h1: long, h2: long>, b struct<h1: long, h2: long>", pa.schema([("a", one), ("b", one)]))
 
 
 def removals(df: DataFrame, edits: int = 2, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None) -> DataFrame:
     """(doc, places): the places of the lines to remove, for documents with any."""
-    occ = checkpoint(occurrences(df, id_col, text_col, min_chars if exact_chars is None else min(exact_chars, min_chars)))
+    occ = stored(occurrences(df, id_col, text_col, min_chars if exact_chars is None else min(exact_chars, min_chars)))
     first = F.min(F.struct("doc", "place"))
     distinct = occ.groupBy("h1", "h2").agg(first.alias("first"), F.count("*").alias("n"))
     component = connected_components(links(df, edits, min_chars, text_col))
-    classed = distinct.join(component, distinct.h1 == component.node, "left").where("n > 1 or component is not null")
+    component = component.select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "component")
+    classed = distinct.join(component, ["h1", "h2"], "left").where("n > 1 or component is not null")
     alone = classed.where("component is null").select("h1", "h2", "first")
     linked = classed.where("component is not null").select("h1", "h2", "first", "component")
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
@@ -300,8 +294,9 @@ def kept_text(text: Column, places: Column) -> Column:
 
 def deduplicate(df: DataFrame, edits: int = 2, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None) -> DataFrame:
     """df with text_col less its removed lines; rows of which nothing but blanks is left by that are dropped."""
-    gone = removals(df, edits, min_chars, id_col, text_col, exact_chars).withColumnRenamed("doc", "_doc").withColumnRenamed("places", "_places")
-    out = df.join(gone, df[id_col].eqNullSafe(gone["_doc"]), "left")
-    text = F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(kept_text(F.col(text_col), F.col("_places")))
-    out = out.withColumn(text_col, text).where(F.col("_places").isNull() | (F.trim(F.translate(text_col, "\t\n\r", "   ")) != ""))
-    return out.drop("_doc", "_places")
+    gone = removals(df, edits, min_chars, id_col, text_col, exact_chars)
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = whole.join(gone, whole.id.eqNullSafe(gone.doc), "left")
+    less = F.when(F.col("places").isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col("places")))
+    out = out.withColumn("less", less).where(F.col("places").isNull() | (F.trim(F.translate("less", "\t\n\r", "   ")) != ""))
+    return out.select(*(F.col("less").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in df.columns))

@@ -21,27 +21,43 @@ from pyspark.sql import functions as F
 BLANK = r"\x20\x09-\x0D"
 
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def add_statistics(df: DataFrame, text_col: str = "text", window: int = 5) -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and a struct of figures for rules, ``stats``.
 
+    Columns of df with these names give way to them; all others go through as they are.
+
     Repeated windows: each window's hash, its low bits replaced by its place, is one long; a primitive sort puts equal
-    windows side by side, where the words themselves are compared. The places found twice are merged as intervals.
+    windows side by side, where the words themselves are compared. If unlike windows have met there, which few texts
+    see, the windows of that text are sorted by their words instead. The places found twice are merged as intervals.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.withColumn("_w", F.array_remove(F.split(text, f"[{BLANK}]+", -1), ""))
+    rest = [c for c in df.columns if c not in (*RESULTS, "stats")]
+    df = df.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row") if rest else F.lit(0).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    df = df.withColumn("_w", F.array_remove(F.split("_t", f"[{BLANK}]+", -1), ""))
     df = df.withColumn("_n", F.size("_w").cast("long"))
     # Bits for places: as many as the number of words needs.
     df = df.withColumn("_m", F.expr("shiftleft(1L, length(bin(_n))) - 1"))
     words = ", ".join(f"_w[i + {j}]" for j in range(window))
     df = df.withColumn("_k", F.expr(f"if(_n < {window}, array(), sort_array(transform(sequence(0, cast(_n as int) - {window}), i -> (xxhash64({words}) & ~_m) | i)))").cast("array<long>"))
 
+    def alike(a: str, b: str) -> str:
+        return f"(({a}) & ~_m) = (({b}) & ~_m)"
+
+    def equal(a: str, b: str) -> str:
+        return f"slice(_w, cast(({a}) & _m as int) + 1, {window}) = slice(_w, cast(({b}) & _m as int) + 1, {window})"
+
     def same(a: str, b: str) -> str:
-        return f"(({a}) & ~_m) = (({b}) & ~_m) and slice(_w, cast(({a}) & _m as int) + 1, {window}) = slice(_w, cast(({b}) & _m as int) + 1, {window})"
+        return f"{alike(a, b)} and {equal(a, b)}"
 
-    df = df.withColumn("_p", F.expr(f"sort_array(transform(filter(_k, (x, i) -> (i > 0 and {same('x', '_k[i - 1]')}) or (i < size(_k) - 1 and {same('x', '_k[i + 1]')})), x -> x & _m))"))
+    fast = f"sort_array(transform(filter(_k, (x, i) -> (i > 0 and {same('x', '_k[i - 1]')}) or (i < size(_k) - 1 and {same('x', '_k[i + 1]')})), x -> x & _m))"
+    mixed = f"size(filter(_k, (x, i) -> i > 0 and {alike('x', '_k[i - 1]')} and not {equal('x', '_k[i - 1]')})) > 0"
+    sure = f"transform(array(sort_array(transform(_k, x -> named_struct('s', slice(_w, cast(x & _m as int) + 1, {window}), 'i', x & _m)))), q -> sort_array(transform(filter(q, (x, i) -> (i > 0 and x.s = q[i - 1].s) or (i < size(q) - 1 and x.s = q[i + 1].s)), x -> x.i)))[0]"
+    df = df.withColumn("_p", F.expr(f"if({mixed}, {sure}, {fast})"))
     repeat = F.expr(f"if(size(_p) = 0, 0L, aggregate(_p, named_struct('n', 0L, 'to', 0L), (s, p) -> named_struct('n', s.n + p + {window}L - greatest(p, s.to), 'to', p + {window}L), s -> s.n))")
     lines = F.expr(f"sort_array(filter(split({'_t'}, '\\n', -1), l -> l rlike '[^{BLANK}]'))".replace("'[^", "r'[^"))
-    df = df.withColumn("_t", text).withColumn("_l", lines)
+    df = df.withColumn("_l", lines)
     df = df.withColumns({
         "n_words": F.col("_n"),
         "word_chars": F.length(F.array_join("_w", "")).cast("long"),
@@ -62,11 +78,10 @@ def add_statistics(df: DataFrame, text_col: str = "text", window: int = 5) -> Da
         "mark_share": F.col("_bang") / n,
         "digit_share": F.col("_digit") / chars,
     }
-    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    made = F.struct(*base, F.struct(*(c.alias(k) for k, c in figures.items())).alias("stats"))
+    made = F.struct(*RESULTS, F.struct(*(c.alias(k) for k, c in figures.items())).alias("stats"))
     # One row out for one in; a filter on a statistic is not pushed through, where it would be worked out again in each lambda.
-    df = df.withColumn("_s", F.explode(F.array(made)))
-    return df.drop("_w", "_n", "_m", "_k", "_p", "_t", "_l", "_upper", "_bang", "_digit", "_lines", *base).select("*", "_s.*").drop("_s")
+    df = df.select("_row", F.explode(F.array(made)).alias("_s"))
+    return df.select(*(F.col(f"_row.`{c}`") for c in rest), "_s.*")
 
 
 @dataclass(frozen=True)
@@ -174,7 +189,13 @@ def verdict(rules: list[Rule], stats: str = "stats") -> Column:
 
 
 def judge(df: DataFrame, rules: list[Rule], text_col: str = "text", least_words: int = 10, most_repeat: int = 20) -> DataFrame:
-    """df with its statistics, base_failed and kept."""
-    out = add_statistics(df, text_col)
+    """df with its statistics, base_failed and kept; columns of df with these names give way to them."""
+    out = add_statistics(df.drop("base_failed", "kept"), text_col)
     failed = (F.col("n_words") < least_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(most_repeat) * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules)).drop("stats")
+
+
+def keep(df: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows of df that are kept, with all their columns as they are."""
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).alias("text"))
+    return judge(whole, rules).where("kept").select("row.*")

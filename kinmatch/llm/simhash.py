@@ -11,8 +11,8 @@ From a bucket come the links of a spanning forest alone, never all pairs. A buck
 dealt over pairs of parts, so that a task holds two parts at most and every pair still meets. Components then give the
 smallest id reachable.
 
-Null and wordless texts have fingerprint 0 and link like any other. Rows with a null id take part; null is never a
-component id unless all ids of the component are null. Repeated rows each give a row.
+Null and wordless texts have fingerprint 0 and link like any other. Rows with a null id take part, also where no other row
+has their fingerprint; null is never a component id unless all ids of the component are null. Repeated rows each give a row.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import checkpoint, connected_components, map_rows
+from .common import connected_components, map_rows, stored
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PIVOTS = np.random.RandomState(7).randint(0, 2**32, (24, 2), dtype=np.uint64) @ np.array([1 << 32, 1], np.uint64)
@@ -139,13 +139,13 @@ def with_fingerprints(df: DataFrame, name: str, text_col: str = "text", k: int =
 
 
 def print_components(distinct: DataFrame, bits: int = 3, most: int = 2048) -> DataFrame:
-    """(node, component) of the ids in distinct(print, least) whose fingerprints are linked."""
+    """(node, component) of the fingerprints in distinct(print) that are linked; component is the smallest of them."""
     keys = []
     for n, pair in enumerate(combinations(BLOCKS, 2)):
         mask = sum(((1 << width) - 1) << at for at, width in pair)
         mask -= 1 << 64 if mask >> 63 else 0
         keys.append(F.xxhash64(F.lit(n), F.col("print").bitwiseAND(F.lit(mask))))
-    dealt = distinct.where("least is not null").select(F.explode(F.array(*keys)).alias("bucket"), "print", F.col("least").alias("id"))
+    dealt = distinct.select(F.explode(F.array(*keys)).alias("bucket"), "print", F.col("print").alias("id"))
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / most).cast("long").alias("parts"))
     own = F.pmod(F.xxhash64("print", F.lit(1)), F.col("parts"))
     # Part i of a bucket meets every part j in task (i, j); a bucket of one part is a task as it is.
@@ -160,8 +160,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, fingerprint as 16 hex digits, component_id) for every row of df."""
     arrow = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
     prints = map_rows(df, lambda ids, texts: {"doc_id": ids, "print": fingerprints(texts, k)}, [id_col, text_col], "doc_id long, print long", arrow)
-    prints = checkpoint(prints)  # the texts are read once
-    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
-    component = print_components(distinct, bits, most)
-    least = distinct.join(component, distinct.least == component.node, "left").select("print", F.coalesce("component", "least").alias("component_id"))
+    prints = stored(prints)  # the texts are read once
+    distinct = stored(prints.groupBy("print").agg(F.min("doc_id").alias("least")))
+    component = print_components(distinct.select("print"), bits, most)
+    group = F.coalesce("component", "print").alias("group")
+    grouped = distinct.join(component, distinct.print == component.node, "left").select("print", "least", group)
+    ids = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    least = grouped.select("print", "group").join(ids, "group").select("print", "component_id")
     return prints.join(least, "print").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

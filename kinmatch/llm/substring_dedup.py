@@ -136,7 +136,7 @@ class Flat:
         return self.within(np.maximum(low - REACH, self.begin[d]), np.minimum(high + REACH, self.ends[d])) & (self.left >= SHINGLE)
 
 
-def flats(batches: Iterator[pa.RecordBatch], only=None, most_chars: int = 1 << 21) -> Iterator[Flat]:
+def flats(batches: Iterator[pa.RecordBatch], only=None, most_chars: int = 1 << 20) -> Iterator[Flat]:
     """Slices of batches(id, text) of a bounded number of characters, or one text; ``only`` tells ids that are wanted."""
     if os.environ.get("PYTHONHASHSEED", "random") == "random":
         raise RuntimeError("workers hash words alike only under one PYTHONHASHSEED, which Spark sets")
@@ -153,9 +153,10 @@ def flats(batches: Iterator[pa.RecordBatch], only=None, most_chars: int = 1 << 2
                 lists.append(w)
                 size += len(t)
                 if size >= most_chars:
-                    yield Flat(ids, lists)
-                    ids, lists, size = [], [], 0
-        yield Flat(ids, lists)
+                    flat, ids, lists, size = Flat(ids, lists), [], [], 0
+                    yield flat
+        flat, ids, lists = Flat(ids, lists), [], []
+        yield flat
 
 
 def bands(shingles: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
@@ -426,7 +427,7 @@ def deduplicate(df: DataFrame, n_bands: int = 3, band_rows: int = 2, similarity:
     rows = colliding(texts, hits, n_bands, band_rows)
     held = stored(members(rows, ["p", "sketch", "n"], partnered(most_bits), most, stored, ["n"], folded, partnered(most_bits, False)))
     pairs = held.where("n <> 2")
-    equal, near = bitmap(held.where("n > 1"), "p"), bitmap(pairs, "p")
+    equal, near = bitmap(held.where("n > 1"), "p", 32), bitmap(pairs, "p")
     found = stored(flagged(texts, equal, near))
     paragraphs = found.where(f"size = {SPAN}").select("key", "doc", "at", "size")
     # Near-copied paragraphs, verified.

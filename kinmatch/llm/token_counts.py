@@ -154,7 +154,7 @@ def counter(path: str) -> Counter:
     return _COUNTERS[path]
 
 
-def count_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, chunk_chars: int = 65_536, overlap_chars: int = 1024) -> DataFrame:
+def count_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, chunk_chars: int = 32_768, overlap_chars: int = 1024) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row; ``tokenizer`` is a .json or .model file on every node."""
 
     def rows(ids, texts):
