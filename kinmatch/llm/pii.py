@@ -1,17 +1,23 @@
-"""Personal data by candidate gradient boosting over built-in expressions.
+"""Personal data and secrets by candidate gradient boosting over built-in expressions.
 
 Base spans are format matches that pass their own test (digits, parts, Luhn). Beside them, high-recall generators propose
-looser spans: spelled-out addresses and runs of digits with separators. Boosted trees score each candidate by its format
-and context; a threshold calibrated on held-out candidates selects the redactions that are added. Base spans stay.
-
-The trees learn from weak labels: a candidate that overlaps a base span is personal data, another is not, so that spans
-formatted and placed like personal data are found where the strict form fails. Base e-mail addresses spelled out and base
-phones without the plus, in their places, are further examples of personal data; spelled-out addresses with bracketed
-marks that a text has itself are no examples of either kind. They are fitted on a bounded sample, the
-candidates of the ``most_docs`` texts with candidates of least hashed id, and applied as conditional expressions of the
-plan. Matching, tests, features and trees are all DataFrame expressions; nothing is shuffled.
-
-Places count code points; the end is exclusive. Null text has no spans. Without both kinds of weak label no span is added.
+looser spans: spelled-out addresses, runs of digits with separators, and long runs of mixed letters and digits. Boosted
+trees score each candidate by its format and context; a threshold calibrated on held-out candidates selects the redactions
+that are added. Base spans stay.
+
+For want of labelled spans the trees learn from examples made of what a sample of texts holds. Personal data are candidates
+that overlap a base span, and base spans in a form that their own test does not take, in their places: addresses spelled
+out, phones without the plus, cards with a wrong check digit; and secrets made from a text's digest, as keys are written in
+code. Not personal data are the other candidates, and slugs, versions and times made from the text's words. A candidate of
+the text itself that is formed like an example of personal data (a run with the digits and groups of some card or phone, a
+spelled-out address with bracketed marks, a mixed run) is an example of neither. The sample is the ``most_docs`` texts with
+candidates of least hashed id; the trees are conditional expressions of the plan. Matching, tests, features and trees are
+all DataFrame expressions; nothing is shuffled.
+
+Fixed bounds of the generators: parts of a spelled-out address have up to 64 characters, its last ones 24; runs of digits 7
+to 41; mixed runs 16 or more characters; the trees see 24 characters before a candidate and 8 after it.
+
+Places count code points; the end is exclusive. Null text has no spans. Without both kinds of example no span is added.
 Every row gives a row, also repeated ones; other columns are not returned.
 """
 
@@ -23,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "handle", "number")
+KINDS = ("email", "ip", "card", "phone", "handle", "number", "secret")
 
 LOCAL = "A-Za-z0-9._%+-"
 #: The base forms. Possessive, so that very long matches need no stack; a match of the first can only begin where a run
@@ -34,6 +40,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 HANDLE = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,64}+(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{1,24}+)+"
 NUMBER = r"(?<![0-9A-Za-z])[(+]?[0-9](?:[\x20().\-/]{0,2}+[0-9]){6,40}+(?![0-9A-Za-z])"
+#: A run of letters and digits, both of them, as keys have.
+SECRET = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9@.])"
 
 
 def places(text: str, pattern: str, block: int = 512) -> str:
@@ -71,7 +79,7 @@ def spans(text: str, pattern: str, likely: str, holds: str | None = None) -> Col
 
 
 def add_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with an array of spans of each kind: email, ip, card, phone, handle, number."""
+    """df with an array of spans of each kind: email, ip, card, phone, handle, number, secret."""
     d = digits("m.s")
     return df.withColumn("_t", F.coalesce(F.col(text_col), F.lit(""))).withColumns({
         "email": spans("_t", EMAIL, "contains(_t, '@')"),
@@ -80,10 +88,11 @@ def add_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
         "phone": spans("_t", PHONE, "contains(_t, '+')", f"length({d}) between 9 and 15"),
         "handle": spans("_t", HANDLE, r"_t rlike '[ (\\[]at[ )\\]]'"),
         "number": spans("_t", NUMBER, r"_t rlike '[0-9][0-9 ().\\-/]{5}'"),
+        "secret": spans("_t", SECRET, "_t rlike '[0-9+/_-][A-Za-z]' and _t rlike '[A-Za-z0-9+/_-]{16}'"),
     })
 
 
-CONTEXT = ("phone|tel|call|fax|mobile", "card|credit|visa|account|iban", "mail|contact|write", "ip|host|server|addr")
+CONTEXT = ("phone|tel|call|fax|mobile", "card|credit|visa|account|iban", "mail|contact|write", "ip|host|server|addr", "token|key|secret|passw|pwd|auth|credential")
 
 
 def features(c: str) -> dict[str, str]:
@@ -91,6 +100,12 @@ def features(c: str) -> dict[str, str]:
     d = digits(f"{c}.s")
     return {
         "is_handle": f"if({c}.kind = 'handle', 1, 0)",
+        "is_secret": f"if({c}.kind = 'secret', 1, 0)",
+        "digit_share": f"length({d}) / length({c}.s)",
+        "turns": f"regexp_count({c}.s, '[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])') / length({c}.s)",
+        "cuts": f"regexp_count({c}.s, '[_/+-]') / length({c}.s)",
+        "quoted": f"""if({c}.before rlike '["\\']$' and {c}.after rlike '^["\\']', 1, 0)""",
+        "assigned": f"""if({c}.before rlike '[=:] ?["\\']?$', 1, 0)""",
         "length": f"length({c}.s)",
         "digits": f"length({d})",
         "groups": f"size(split({c}.s, '[^0-9]+'))",
@@ -106,15 +121,20 @@ def features(c: str) -> dict[str, str]:
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """df of add_spans with ``cand``: handles and numbers with the text about them and whether they overlap a base span."""
+    """df of add_spans with ``cand``: the looser spans with the text about them and whether they overlap a base span."""
     about = "substring(_t, greatest(m.at - 23, 1), least(m.at, 24))"
     touches = " or ".join(f"exists({k}, b -> b.at < m.to and m.at < b.to)" for k in KINDS[:4])
     one = "transform({k}, m -> named_struct('at', m.at, 'to', m.to, 's', m.s, 'kind', '{k}', 'before', " + about + ", 'after', substring(_t, m.to + 1, 8), 'base', " + touches + "))"
     return df.withColumn("cand", F.expr("concat(" + ", ".join(one.format(k=k) for k in KINDS[4:]) + ")"))
 
 
+#: How keys are named in code.
+NAMES = ("token", "api_key", "secret", "password", "auth_token", "access_key", "client_secret", "credentials")
+
+
 def with_examples(df: DataFrame) -> DataFrame:
-    """df of candidates with base addresses spelled out and base phones without the plus among them, as personal data."""
+    """df of candidates with made examples among them, ``base`` telling which are personal data, and without handles that
+    may be either."""
     form = "pmod(xxhash64(m.s, m.at), 6)"
     host = f"if({form} < 3, substring_index(m.s, '@', -1), substring_index(m.s, '.', -2))"
     host = f"substring_index({host}, '@', -1)"  # whole, or its last two parts
@@ -122,8 +142,22 @@ def with_examples(df: DataFrame) -> DataFrame:
     spelled = f"concat(substring_index(m.s, '@', 1), {at}, replace({host}, '.', {dot}))"
     about = "substring(_t, greatest(m.at - 23, 1), least(m.at, 24))"
     one = "transform({k}, m -> named_struct('at', m.at, 'to', m.to, 's', {s}, 'kind', '{kind}', 'before', " + about + ", 'after', substring(_t, m.to + 1, 8), 'base', true))"
-    unsure = "c.kind = 'handle' and not c.base and (contains(c.s, '(') or contains(c.s, '['))"
-    parts = (f"filter(cand, c -> not ({unsure}))", one.format(k="email", s=spelled, kind="handle"), one.format(k="phone", s="substring(m.s, 2)", kind="number"))
+    unsure = "(c.kind = 'handle' and not c.base and (contains(c.s, '(') or contains(c.s, '['))) or c.kind = 'secret'"
+    wrong = "concat(left(m.s, length(m.s) - 1), cast((cast(right(m.s, 1) as int) + 5) % 10 as string))"
+    parts = [f"filter(cand, c -> not ({unsure}))", one.format(k="email", s=spelled, kind="handle"), one.format(k="phone", s="substring(m.s, 2)", kind="number"), one.format(k="card", s=wrong, kind="number")]
+    # Of each text a secret and three that are none, between the words at a drawn place.
+    words = "split(substring(_t, 1, 400), '[^A-Za-z]+')"
+    some = lambda k: f"lower(coalesce(get({words}, cast(pmod(xxhash64(_t, {k}), 20) as int)), 'w{k}'))"
+    digest = "element_at(array(sha1(_t), md5(_t), regexp_replace(base64(unhex(sha2(_t, 256))), '[^A-Za-z0-9]', ''), substring(sha2(_t, 256), 1, 24)), cast(pmod(xxhash64(_t, 5), 4) as int) + 1)"
+    name = "element_at(array(" + ", ".join(f"'{n}'" for n in NAMES) + f"), cast(pmod(xxhash64(_t, 6), {len(NAMES)}) as int) + 1)"
+    number = "cast(pmod(xxhash64(_t, 7), 90) + 10 as string)"
+    made = (
+        (digest, f"concat({some(1)}, ' ', {name}, element_at(array(' = \"', '=\"', ': \"', \" = '\", '='), cast(pmod(xxhash64(_t, 8), 5) as int) + 1))", "element_at(array('\" ', '\" ', '\" ', \"' \", ' '), cast(pmod(xxhash64(_t, 8), 5) as int) + 1)", True),
+        (f"concat_ws('-', {some(1)}, {some(2)}, {some(3)}, {some(4)}, {number})", f"concat({some(5)}, ' ')", "' and'", False),
+        (f"concat_ws('_', {some(2)}, {some(3)}, 'linux', 'x86', 'v{{}}')", f"concat({some(6)}, ' = \"')", "'\" '", False),
+        (f"concat('20', {number}, '-11-26T15-41-', {number}, 'Z')", f"concat({some(7)}, ': ')", "' on'", False),
+    )
+    parts.append("filter(array(" + ", ".join(f"named_struct('at', -{k + 1}, 'to', 0, 's', {v.replace('{}', '2')}, 'kind', 'secret', 'before', right({before}, 24), 'after', {after}, 'base', {str(y).lower()})" for k, (v, before, after, y) in enumerate(made)) + "), m -> length(m.s) >= 16 and m.s rlike '[0-9]')")
     return df.withColumn("cand", F.expr("concat(" + ", ".join(parts) + ")"))
 
 
@@ -221,7 +255,7 @@ def boost(x: dict[str, np.ndarray], y: np.ndarray, rounds: int = 24, depth: int
 
 def fit(df: DataFrame, most_docs: int = 2000, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the candidates of at most ``most_docs`` texts and at most ``most_rows`` candidates."""
-    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(r"text rlike '[0-9][0-9 ().\\-/]{5}|[ (\\[]at[ )\\]]|@'")
+    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(r"text rlike '[0-9][0-9 ().\\-/]{5}|[ (\\[]at[ )\\]]|@|[0-9][A-Za-z]'")
     some = texts.select("_id").where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(most_docs)
     rows = with_examples(candidates(add_spans(texts.join(F.broadcast(some.distinct()), "_id"))))  # most_docs ids are broadcast
     figure = features("c")
@@ -229,7 +263,10 @@ def fit(df: DataFrame, most_docs: int = 2000, most_rows: int = 20_000, id_col: s
     found = rows.orderBy(F.xxhash64("_id", "at"), "_id", "at").limit(most_rows).collect()
     if not found:
         return Model(0.0, [], float("inf"))
-    found.sort(key=tuple)
+    # Numbers that are formed like a card or phone may be one: they are examples of neither.
+    form = lambda r: (r["digits"], r["groups"], r["longest"])
+    formed = {form(r) for r in found if r["_y"] and not r["is_handle"] and not r["is_secret"]}
+    found = sorted((r for r in found if r["_y"] or r["is_handle"] or r["is_secret"] or form(r) not in formed), key=tuple)
     return boost({k: np.array([r[k] for r in found], float) for k in figure}, np.array([r["_y"] for r in found], float))
 
 
@@ -245,10 +282,10 @@ def find(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "t
         open_ = f"transform(filter(cand, c -> not c.base), c -> named_struct('at', c.at, 'to', c.to, 'kind', c.kind, 'x', {figure}))"
         total = model.sql({k: f"c.x.{k}" for k in features("c")})
         chosen = f"filter({open_}, c -> {total} >= {model.threshold!r}D)"
-        # Of a handle and a number that overlap, the handle stays.
+        # Of two that overlap, a handle stays before a secret, and that before a number.
         out = out.withColumn("_chosen", F.expr(chosen))
-        clear = "filter(_chosen, c -> c.kind = 'handle' or not exists(_chosen, o -> o.kind = 'handle' and o.at < c.to and c.at < o.to))"
-        extra = f"transform({clear}, c -> named_struct('at', c.at, 'rank', if(c.kind = 'handle', 4, 5), 'to', c.to))"
+        clear = "filter(_chosen, c -> c.kind = 'handle' or not exists(_chosen, o -> (o.kind = 'handle' or o.kind = 'secret' and c.kind = 'number') and o.at < c.to and c.at < o.to))"
+        extra = f"transform({clear}, c -> named_struct('at', c.at, 'rank', cast(array_position(array('handle', 'number', 'secret'), c.kind) as int) + 3, 'to', c.to))"
         out = out.withColumn("_all", F.expr(f"sort_array(concat(_base, {extra}))"))
     else:
         out = out.withColumn("_all", F.col("_base"))
