@@ -1,10 +1,12 @@
-"""Licence scans by an exact set-similarity join of word windows with templates.
+"""Licence scans by an exact set-similarity join of text blocks with templates.
 
-Tokens of the templates are ordered by their frequency in the whole corpus, rarest first. A block that holds at least
-``threshold`` of a template's tokens must hold one of the template's first |T| - need + 1 (prefix filter), must have at
-least ``need`` words (length filter), and from the place of the first token found on enough of the template must be left
-(positional filter). Blocks are the windows of one template length less one word to either side of a place of a prefix
-token: any run of so many words that holds the token lies in one of them. What passes is verified by its own overlap.
+A block is a run of as many consecutive words as the template has (the whole text if it has fewer); it meets the template if
+it holds at least ``threshold`` of the template's distinct tokens. Tokens are ordered by their frequency in the whole corpus,
+rarest first, ties by the token. A block that meets the template must hold one of its first |T| - need + 1 tokens (prefix
+filter). About each place of such a token the words that blocks with it can reach must be ``need`` or more (length filter),
+enough of the order must be left from the first token found on (positional filter), and ``need`` tokens must be among them.
+What passes is verified block by block. So no block that meets a template is lost and none is added; the score is the
+largest containment of those found, else 0.
 
 All is DataFrame expressions: one pass counts the template tokens, one scans; no document is shuffled. Templates are
 literals of the plan, so their tokens are bounded by ``MOST_TOKENS``.
@@ -27,18 +29,26 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases of the base, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Notices by label, and the words that tell one from its kin: a block counts only with all of these.
+#: Notices by label, and words that a block must hold beside the threshold, if any. Kin notices of one line differ in one
+#: word, so that at the threshold of 0.9 a template of up to ten tokens must be there whole.
 TEMPLATES = (
-    ("mit", "released under the mit license", "mit"),
+    ("mit", "released under the mit license", ""),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", ""),
-    ("apache", "licensed under the apache license version 2 0", "apache"),
-    ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general"),
-    ("lgpl", "licensed under the gnu lesser general public license", "lesser"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc nc"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc sa"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ""),
+    ("apache", "licensed under the apache license version 2 0", ""),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ""),
+    ("gpl", "this work is licensed under the gnu general public license version 3", ""),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ""),
+    ("lgpl", "licensed under the gnu lesser general public license", ""),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ""),
+    ("cc-by-nc", "licensed under cc by nc 4 0", ""),
+    ("cc-by-sa", "licensed under cc by sa 4 0", ""),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ""),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ""),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ""),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ""),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ""),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ""),
 )
 
 
@@ -57,7 +67,7 @@ def strings(values) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
-def scan(df: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(df: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row of df."""
     tokens = sorted({w for _, t, _ in templates for w in t.split()})
     if len(tokens) > MOST_TOKENS:
@@ -85,10 +95,13 @@ def scan(df: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float =
         whole = "array(" + ", ".join(f"'{w}'" for w in own) + ")"
         # Positional filter: with the first common token at place j of the order, at most |T| - j tokens can be common.
         bound = f"{len(own)} - (array_position({whole}, element_at(array_intersect({whole}, b), 1)) - 1) >= {need}"
-        block = f"slice(_w, greatest(i - {length - 2}, 1), i + {length} - greatest(i - {length - 2}, 1))"
         told = "".join(f" and array_contains(b, '{w}')" for w in telling.split())
+        # 0-based places of prefix tokens, the words that blocks with them reach, and the blocks themselves.
         places = f"filter(sequence(0, size(_w) - 1), i -> array_contains({hit}, _w[i]))"
-        shares = f"transform(filter(transform({places}, i -> {block}), b -> size(b) >= {need} and {bound}{told}), b -> size(array_intersect({whole}, b)) / {len(own)}D)"
+        reach = f"slice(_w, greatest(i - {length - 1}, 0) + 1, i + {length} - greatest(i - {length - 1}, 0))"
+        passed = f"filter({places}, i -> exists(array({reach}), b -> size(b) >= {need} and {bound} and size(array_intersect({whole}, b)) >= {need}))"
+        blocks = f"transform(sequence(greatest(i - {length - 1}, 0), greatest(least(i, size(_w) - {length}), 0)), j -> slice(_w, j + 1, {length}))"
+        shares = f"transform({passed}, i -> array_max(transform(filter({blocks}, b -> size(array_intersect({whole}, b)) >= {need}{told}), b -> size(array_intersect({whole}, b)) / {len(own)}D)))"
         share = F.when(F.expr(f"arrays_overlap(_w, {hit})"), F.coalesce(F.expr(f"array_max({shares})"), F.lit(0.0))).otherwise(F.lit(0.0))
         found.append(F.struct(F.lit(label).alias("label"), share.alias("share")))
     nothing = F.expr("cast(array() as array<struct<label: string, share: double>>)")
