@@ -436,7 +436,7 @@ def deduplicate(df: DataFrame, n_bands: int = 3, band_rows: int = 2, similarity:
     component = connected_components(met(together, ["p", "shingles"], verified(similarity, most_bits), "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())])))
     # Shingles that are looked for, in flagged documents.
     documents = bitmap(stored(paragraphs.select("doc").distinct()), "doc")
-    more = stored(offered(texts, equal, near, bitmap(found.where("size = 0"), "key"), documents))
+    more = stored(offered(texts, equal, near, bitmap(found.where("size = 0"), "key", 8), documents))
     every = paragraphs.unionByName(more.withColumn("size", F.lit(SHINGLE).cast("long")))
     # Classes of more than one place, each with its first.
     here = F.struct("doc", "at")
