@@ -168,6 +168,11 @@ def blocking_text(name: Column, addr: Column) -> Column:
     return F.concat_ws(" ", name, compact(name), addr)
 
 
+def core_text(name: Column, addr: Column) -> Column:
+    """Core name and cleaned address, for dense blocking."""
+    return F.concat(name_core(clean_ascii(name)), F.lit(" "), clean_ascii(addr))
+
+
 def prompt(name: Column, addr: Column) -> Column:
     return F.format_string("name: %s | address: %s", name, addr)
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import connected_components, stored
+
 
 def at_least(scored: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
     return scored.where(F.col("score") > threshold if strict else F.col("score") >= threshold)
@@ -31,92 +35,68 @@ def single_claims(scored: DataFrame, threshold: float, order: tuple[str, ...] =
     return claims(best_per_source(at_least(scored, threshold)), threshold, order)
 
 
-def optimum(weights: list[list[float | None]]) -> list[int]:
-    """The column of each row (-1: none): as many pairs as possible, then the largest total; None is no edge.
+def optimum(weights: list) -> list[int]:
+    """The column of each row (-1: none): as many pairs as possible, then the largest total.
+
+    ``weights[i]`` has row i's edges, as a list with None where there is none, or as a dictionary by column.
 
-    Shortest augmenting paths with potentials; rows and columns are padded to a square of costs.
+    Successive cheapest augmenting paths over the edges alone (a queue of rows whose cost has fallen): the pairs placed so
+    far are the best of their number, so the last are the best of the largest number.
     """
-    n, m = len(weights), len(weights[0]) if weights else 0
-    size, far = max(n, m), 100.0
-    cost = [[-weights[i][j] if i < n and j < m and weights[i][j] is not None else far for j in range(size)] for i in range(size)]
-    u, v, owner = [0.0] * (size + 1), [0.0] * (size + 1), [0] * (size + 1)
-    for i in range(1, size + 1):
-        owner[0], j0 = i, 0
-        least, back, done = [float("inf")] * (size + 1), [0] * (size + 1), [False] * (size + 1)
-        while owner[j0]:
-            done[j0] = True
-            i0, delta, j1 = owner[j0], float("inf"), 0
-            for j in range(1, size + 1):
-                if not done[j]:
-                    c = cost[i0 - 1][j - 1] - u[i0] - v[j]
-                    if c < least[j]:
-                        least[j], back[j] = c, j0
-                    if least[j] < delta:
-                        delta, j1 = least[j], j
-            for j in range(size + 1):
-                if done[j]:
-                    u[owner[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
-            j0 = j1
-        while j0:
-            owner[j0], j0 = owner[back[j0]], back[j0]
-    out = [-1] * n
-    for j in range(1, m + 1):
-        i = owner[j] - 1
-        if i < n and weights[i][j - 1] is not None:
-            out[i] = j - 1
-    return out
-
-
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(s1_id, component): the least S1 id reachable over shared targets."""
-    label = edges.select("s1_id").distinct().withColumn("component", F.col("s1_id"))
-    before = None
-    for _ in range(rounds):
-        low = edges.join(label, "s1_id").groupBy("t_id").agg(F.min("component").alias("component"))
-        label = edges.join(low, "t_id").groupBy("s1_id").agg(F.min("component").alias("component"))
-        label = shared(label)
-        now = label.agg(F.sum(F.xxhash64("s1_id", "component").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            return label
-        before = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
-def shared(df: DataFrame) -> DataFrame:
-    """df in the checkpoint folder that the session names, or, in tests, one of its own."""
-    import tempfile
-
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    weights = [w if isinstance(w, dict) else {j: x for j, x in enumerate(w) if x is not None} for w in weights]
+    column, owner = [-1] * len(weights), {}
+    while True:
+        cost = {i: 0.0 for i, j in enumerate(column) if j < 0 and weights[i]}
+        came, queue, waits = {}, deque(cost), set(cost)
+        while queue:
+            i = queue.popleft()
+            waits.discard(i)
+            for j, w in weights[i].items():
+                to = cost[i] - w
+                if column[i] != j and (j not in came or to < came[j][0] - 1e-12):
+                    came[j] = (to, i)
+                    k = owner.get(j)
+                    if k is not None:
+                        cost[k] = to + weights[k][j]
+                        if k not in waits:
+                            waits.add(k)
+                            queue.append(k)
+        free = [(to, j) for j, (to, _) in came.items() if j not in owner]
+        if not free:
+            return column
+        j = min(free)[1]
+        while j >= 0:
+            i = came[j][1]
+            owner[j], column[i], j = i, j, column[i]
 
 
 def optimal_claims(scored: DataFrame, threshold: float) -> DataFrame:
     """Targets of one claimant go to it; contested ones by an optimal assignment, at most one of them an S1; what is left
-    goes to its best S1. Each connected group of contested claims is solved on its own.
+    goes to its best S1. Each connected group of contested claims is solved on its own, from its edges alone; a group is
+    one task's, so its claims must fit one.
     """
-    held = at_least(scored, threshold).select("s1_id", "t_id", "score")
+    held = stored(at_least(scored, threshold).select("s1_id", "t_id", "score"))
     n = held.groupBy("t_id").agg(F.count("*").alias("n"))
     marked = held.join(n, "t_id")
-    alone, open_ = marked.where("n = 1").select("s1_id", "t_id", "score"), shared(marked.where("n > 1").select("s1_id", "t_id", "score"))
-    grouped = open_.join(components(open_), "s1_id")
+    alone, open_ = marked.where("n = 1").select("s1_id", "t_id", "score"), stored(marked.where("n > 1").select("s1_id", "t_id", "score"))
+    # S1 and target ids are told apart by what is put before them.
+    edges = open_.select(F.concat(F.lit("s"), "s1_id").alias("a"), F.concat(F.lit("t"), "t_id").alias("b"))
+    group = connected_components(edges).where("node like 's%'").select(F.substring("node", 2, 1 << 30).alias("s1_id"), "component")
+    grouped = open_.join(group, "s1_id")
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["s1_id", "t_id"])
         rows, cols = sorted(set(f.s1_id)), sorted(set(f.t_id))
-        w: list[list[float | None]] = [[None] * len(cols) for _ in rows]
         at, to = {x: i for i, x in enumerate(rows)}, {x: j for j, x in enumerate(cols)}
-        for s, t, x in zip(f.s1_id, f.t_id, f.score, strict=True):
-            w[at[s]][to[t]] = x
-        got = {cols[j]: rows[i] for i, j in enumerate(optimum(w)) if j >= 0}
-        for t in cols:
-            if t not in got:
-                got[t] = max(rows, key=lambda s: (w[at[s]][to[t]] is not None, w[at[s]][to[t]] or 0.0))
-        return pd.DataFrame([(s, t, w[at[s]][to[t]]) for t, s in got.items()], columns=["s1_id", "t_id", "score"])
+        w: list[dict[int, float]] = [{} for _ in rows]
+        best: dict[int, tuple] = {}
+        for s, t, x in sorted(zip(f.s1_id, f.t_id, f.score, strict=True)):
+            i, j = at[s], to[t]
+            w[i][j] = x
+            if j not in best or x > best[j][0]:
+                best[j] = (x, i)
+        got = {j: i for i, j in enumerate(optimum(w)) if j >= 0}
+        out = [(rows[got.get(j, best[j][1])], t, w[got.get(j, best[j][1])][j]) for j, t in enumerate(cols)]
+        return pd.DataFrame(out, columns=["s1_id", "t_id", "score"])
 
     won = alone.unionByName(grouped.groupBy("component").applyInPandas(solve, "s1_id string, t_id string, score double"))
     return won.withColumn("pos", F.row_number().over(Window.partitionBy("s1_id").orderBy("t_id")))

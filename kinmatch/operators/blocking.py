@@ -176,6 +176,13 @@ def unit(c: Column) -> Column:
     return F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
 
 
+def hashed_vectors(text: Column, size: int = 64) -> Column:
+    """Unit vectors of a text's trigrams, hashed to ``size`` places: a stand-in for an encoder's vectors, native throughout."""
+    n = F.transform(F.concat(T.char(text), F.array(F.lit("#"))), lambda g: F.pmod(F.xxhash64(g), F.lit(size)))
+    counts = F.aggregate(n, F.array_repeat(F.lit(0.0), size), lambda a, k: F.transform(a, lambda x, i: x + F.when(i == k, 1.0).otherwise(0.0)))
+    return K.let(counts, unit)
+
+
 def nearest(queries: DataFrame, pool: DataFrame, k: int, by: tuple[str, ...] = ("country", "src"), block: int = 4096) -> DataFrame:
     """Exact (s1_id, t_id, src, score, rank): the k largest inner products of unit vectors in each (country, src).
 

@@ -30,14 +30,19 @@ def trained(name: str, candidates: DataFrame, s1: DataFrame, pool: DataFrame, tr
     """Probabilities of all candidates from a model fitted on the pairs of train(s1_id)."""
     rows = features.compute(name, candidates, s1, pool, outer)
     columns = features.SETS[name][1]
+    size = dict(zip(("trees", "step", "depth"), learn.SIZES.get(name, ()), strict=False))
+    how = size | how
     model = learn.fit(features.with_labels(rows, truth).join(train.select("s1_id"), "s1_id", "left_semi"), columns, **how)
     return learn.predict(model, rows.drop("score"))
 
 
-def minimum(s1: DataFrame, pool: DataFrame, threshold: float = 0.5) -> Linkage:
-    """Pairs of a common word of the cleaned names, trigram score, greedy claims."""
+def minimum(s1: DataFrame, pool: DataFrame, threshold: float = 0.5, most: int = 50) -> Linkage:
+    """Pairs of a common word of the cleaned names, trigram score, greedy claims.
+
+    Words that more than ``most`` targets of a country and source have are no keys: a word of all names would pair all.
+    """
     keys = F.split(X.clean_legal("name"), " ")
-    c = blocking.key_pairs(s1, pool, keys).select("s1_id", "t_id", "src", "ord").distinct()
+    c = blocking.key_pairs(s1, pool, keys, drop_over=most).select("s1_id", "t_id", "src", "ord").distinct()
     p = features.join_sides(c, s1, pool)
     score = F.round(scoring.trigram_score(*(X.clean_legal(x) for x in ("n1", "a1", "n2", "a2"))), 6)
     scored = ranked_by_s1(p.select("s1_id", "t_id", "src", "ord", once(score).alias("score")), s1)

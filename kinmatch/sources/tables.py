@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,19 @@ def load_split(spark: SparkSession, folder: str, split: str, country: str | None
     return (one, pool) if country is None else (one.where(F.col("country") == country), pool.where(F.col("country") == country))
 
 
+def load_train(spark: SparkSession, folder: str, sample: int | None = None) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(truth rows, S1, [S2, S3]) of the training split: all of it, or the coherent sample of ``sample`` truth rows."""
+    one, two, three = (entities(read_tsv(spark, f"{folder}/train_source{k}.tsv")) for k in (1, 2, 3))
+    truth = load_truth(spark, f"{folder}/train_ground_truth.tsv")
+    return coherent_sample(truth, one, [two, three], sample) if sample else (truth, one, [two, three])
+
+
+def first_of_country(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows of each country, by ord."""
+    r = F.row_number().over(Window.partitionBy("country").orderBy("ord", "entity_id"))
+    return df.withColumn("_r", r).where(F.col("_r") <= n).drop("_r")
+
+
 def truth_pairs(raw: DataFrame) -> DataFrame:
     """(s1_id, t_id) of a ground truth table; blanks about ids and empty ids go."""
     t = F.explode(F.transform(F.split("matched_entity_ids", ","), lambda x: F.trim(x)))
@@ -123,3 +136,26 @@ def star_truth(entities_: DataFrame) -> DataFrame:
     a = entities_.where("src = 1").select(F.col("entity_id").alias("s1_id"), "country", "ord")
     b = entities_.where("src > 1").select(F.col("entity_id").alias("t_id"), "country", "ord")
     return a.join(b, ["country", "ord"]).select("s1_id", "t_id")
+
+
+def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as entities, with copies, near-copies and contested targets among them; the language is the country.
+
+    Of a text's words (runs of ASCII letters and digits) the first six are the name and the twelve after them the address;
+    the remainder of the id by three gives the source. ``same`` is a digest of the whole text.
+    """
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    w = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "), " "), lambda x: x != "")
+    src = (F.pmod("doc_id", F.lit(3)) + 1).cast("int")
+    d = d.select("doc_id", src.alias("src"), F.coalesce("lang", F.lit("")).alias("country"), w.alias("w"), F.sha2("text", 256).alias("same"))
+    return d.select(
+        F.concat(F.lit("S"), "src", F.lit("-"), "doc_id").alias("entity_id"), "src", "country",
+        F.array_join(F.slice("w", 1, 6), " ").alias("name"), F.array_join(F.slice("w", 7, 12), " ").alias("addr"), F.col("doc_id").cast("long").alias("ord"), "same",
+    )
+
+
+def document_truth(entities_: DataFrame) -> DataFrame:
+    """(s1_id, t_id): targets of the same country and whole text as an S1 entity."""
+    a = entities_.where("src = 1").select(F.col("entity_id").alias("s1_id"), "country", "same")
+    b = entities_.where("src > 1").select(F.col("entity_id").alias("t_id"), "country", "same")
+    return a.join(b, ["country", "same"]).select("s1_id", "t_id")

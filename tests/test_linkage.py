@@ -157,3 +157,82 @@ def test_dense_cells_hold_the_nearest(spark, tmp_path):
     assert pairs(Q["block_dense_cells"](spark, str(tmp_path))) == want
     cells = pairs(blocking.nearest_index(q, p, 10, flat=100))
     assert len(want) == 6000 and len(cells & want) >= 0.9 * len(want)
+
+
+def test_sweep_of_candidates(spark):
+    truth = spark.createDataFrame([("A", "1"), ("A", "2"), ("B", "3"), ("E", "9")], "s1_id string, t_id string")
+    counts = spark.createDataFrame([("A", 2), ("B", 1), ("C", 0), ("D", 0), ("E", 1)], "s1_id string, n_true long")
+    pairs = spark.createDataFrame([("A", "1", 0.9), ("A", "5", 0.55), ("B", "4", 0.6), ("C", "7", 0.7)], "s1_id string, t_id string, score double")
+    got = {r.threshold: r.macro_f05 for r in metrics.sweep_candidates(truth, counts, pairs, [0.5, 0.6, 0.8]).collect()}
+    # A: true pair 1 of its candidates; B's true pair is no candidate, so B counts as a singleton; D has none; E scores 0.
+    assert got == {0.5: pytest.approx((1.25 * 0.5 / (0.125 + 1) + 0 + 0 + 1 + 0) / 5, abs=1e-6), 0.6: pytest.approx((1 + 1 + 0 + 1 + 0) / 5), 0.8: pytest.approx((1 + 1 + 1 + 1 + 0) / 5)}
+
+
+def test_sweep_equals_one_threshold_at_a_time(spark):
+    r = random.Random(2)
+    truth = spark.createDataFrame([(f"s{k}", f"t{r.randrange(9)}") for k in range(6)], "s1_id string, t_id string").distinct()
+    counts = spark.createDataFrame([(f"s{k}", int(k < 6)) for k in range(9)], "s1_id string, n_true long")
+    pairs = spark.createDataFrame([(f"s{a}", f"t{b}", r.randint(1, 9) / 10) for a in range(8) for b in range(9) if r.random() < 0.6], "s1_id string, t_id string, score double")
+    for strict in (False, True):
+        for x in metrics.sweep(truth, counts, pairs, [0.7, 0.2, 0.5], strict).collect():
+            held = pairs.where(f"score {'>' if strict else '>='} {x.threshold}")
+            one = metrics.summary(metrics.entity_scores(truth, counts, held)).first()
+            assert x.asDict() == {"threshold": x.threshold} | one.asDict()
+
+
+def test_optimum_over_sparse_edges():
+    r = random.Random(11)
+    for _ in range(60):
+        n = r.randint(1, 7)
+        w = [{j: r.randint(1, 99) / 100 for j in range(n) if r.random() < 0.4} for _ in range(n)]
+        best = max((sum(c >= 0 for c in cols), round(sum(w[i][c] for i, c in enumerate(cols) if c >= 0), 6)) for cols in choices(w))
+        got = assign.optimum(w)
+        assert len({c for c in got if c >= 0}) == sum(c >= 0 for c in got)
+        assert (sum(c >= 0 for c in got), round(sum(w[i][c] for i, c in enumerate(got) if c >= 0), 6)) == best
+
+
+def choices(w, used=frozenset()):
+    if not w:
+        yield ()
+        return
+    for c in (-1, *w[0]):
+        if c < 0 or c not in used:
+            for rest in choices(w[1:], used | {c} - {-1}):
+                yield (c, *rest)
+
+
+def test_long_chains_of_claims_are_one_group(spark):
+    n = 130
+    rows = [(f"s{k:03}", f"t{k:03}", 0.9) for k in range(n)] + [(f"s{k:03}", f"t{k + 1:03}", 0.8) for k in range(n)]
+    got = {(x.s1_id, x.t_id) for x in assign.optimal_claims(scored(spark, rows), 0.5).collect()}
+    assert got >= {(f"s{k:03}", f"t{k:03}") for k in range(n)} and len(got) == n + 1
+
+
+def test_words_of_all_names_are_no_keys(spark):
+    from kinmatch.plans import pipelines
+
+    s1 = spark.createDataFrame([(f"S1-{k}", 1, "X", f"acme w{k}", "1 road", k) for k in range(60)], ENTITY)
+    pool = spark.createDataFrame([(f"S2-{k}", 2, "X", f"acme w{k}", "1 road", k) for k in range(60)], ENTITY)
+    got = pipelines.minimum(s1, pool)
+    assert got.candidates.count() == 60 and got.matches.count() == 60
+    assert pipelines.minimum(s1, pool, most=60).candidates.count() == 3600
+
+
+def test_stored_models(spark, tmp_path):
+    from kinmatch.operators import learn
+
+    rows = spark.createDataFrame([(float(k % 7), float(k % 2), int(k % 7 > 3)) for k in range(60)], "a double, b double, label int")
+    made = []
+    make = lambda: made.append(1) or learn.fit(rows, ["a", "b"], trees=2, depth=2)
+    for retrain in (False, False, True):
+        model = learn.load_or_fit(spark, str(tmp_path / "model"), make, retrain)
+        assert all((x.score > 0.5) == (x.label == 1) for x in learn.predict(model, rows).collect())
+    assert len(made) == 2
+    assert learn.importances(model, ["a", "b"])[0][0] == "a"
+
+
+def test_entry_registers_sql_for_known_queries():
+    import __spark_entry__
+
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert "pipeline_minimum" in __spark_entry__.queries()
