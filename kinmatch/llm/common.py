@@ -1,52 +1,20 @@
-"""Shared helpers: table access, shared checkpoints, Arrow row maps and connected components."""
+"""Shared helpers: table access, stored tables, Arrow row maps and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..operators.graph import connected_components as connected_components
+from ..operators.graph import stored as stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster names its shared folder in spark.checkpoint.dir; only a local session without it (tests) gets one made."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage, so that a lost executor costs no more than a read."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared checkpoint folder: like ``checkpoint``, smaller on disk and read by column."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove_stored(df: DataFrame) -> None:
-    """Deletes the files of a ``stored`` table that no plan reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(conf).delete(at, True)
-
-
 def map_rows(df: DataFrame, rows: Callable[[list, ...], dict], columns: list[str], schema: str, arrow: pa.Schema, step: int = 256) -> DataFrame:
     """Applies ``rows(*column_lists) -> {output column: list}`` to slices of ``step`` rows of the given columns.
 
@@ -61,36 +29,3 @@ def map_rows(df: DataFrame, rows: Callable[[list, ...], dict], columns: list[str
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, schema)
-
-
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``edges(a, b)``; component is the smallest node reachable.
-
-    Large-star and small-star steps in turn (Kiveris et al., 2014): each round is two aggregations keyed by node, a
-    hub's neighbours are never gathered into a list (only their minimum is), and the number of rounds is logarithmic.
-    Minima are stored before they are joined, so that both sides of a join are plain shuffles and adaptive execution can
-    split a hub's. A round's table goes when the next is written.
-    Nulls are dropped, self-links and repeated links do no harm, no edges give no rows.
-    """
-    links = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = stored(links)
-    before = None
-    for _ in range(rounds):
-        # The links are a forest of stars once no step changes them; their number and sum tell.
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before or now[0] == 0:
-            break
-        before = now
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        lows = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lows, "a").select("b", "m", "a").selectExpr("stack(2, a, m, b, m) as (a, b)").where("a <> b").distinct()
-        done = [links, least, large]
-        links = stored(small)
-        for df in done:
-            remove_stored(df)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = links.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
