@@ -26,17 +26,27 @@ def new_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, with its lineage cut: a lost executor costs no more than a read."""
+    """df as a Parquet table in the shared folder, with its lineage cut: a lost executor costs no more than a read.
+
+    Zstandard keeps its buffers on the heap; Snappy's, outside, wait for a collection of garbage.
+    """
     path = new_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_stored(df: DataFrame) -> None:
-    """Deletes the files of a ``stored`` table that no plan reads any more."""
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Like ``stored``, in Spark's own form: larger on disk, and cheaper to write where columns are hashes or rows few."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def remove_checkpoint(df: DataFrame) -> None:
+    """Deletes the files of a ``checkpoint`` that no plan reads any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(folder)
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        at = jvm.org.apache.hadoop.fs.Path(file.get())
         at.getFileSystem(conf).delete(at, True)
 
 
@@ -45,12 +55,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps in turn (Kiveris et al., 2014): each round is two aggregations keyed by node, a
     hub's neighbours are never gathered into a list (only their minimum is), and the number of rounds is logarithmic.
-    Minima are stored before they are joined, so that both sides of a join are plain shuffles and adaptive execution can
+    Minima are written before they are joined, so that both sides of a join are plain shuffles and adaptive execution can
     split a hub's. A round's table goes when the next is written.
     Nulls are dropped, self-links and repeated links do no harm, no edges give no rows.
     """
     links = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = stored(links)
+    links = checkpoint(links)
     before = None
     for _ in range(rounds):
         # The links are a forest of stars once no step changes them; their number and sum tell.
@@ -59,14 +69,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = now
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = checkpoint(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         lows = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lows, "a").select("b", "m", "a").selectExpr("stack(2, a, m, b, m) as (a, b)").where("a <> b").distinct()
         done = [links, least, large]
-        links = stored(small)
+        links = checkpoint(small)
         for df in done:
-            remove_stored(df)
+            remove_checkpoint(df)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = links.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
