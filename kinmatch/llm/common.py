@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.graph import checkpoint as checkpoint
 from ..operators.graph import connected_components as connected_components
-from ..operators.graph import ensure_checkpoint_dir
 from ..operators.graph import stored as stored
 
 
@@ -16,12 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Like ``stored``, in Spark's own form: larger on disk, and cheaper to write where columns are hashes."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def map_rows(df: DataFrame, rows: Callable[[list, ...], dict], columns: list[str], schema: str, arrow: pa.Schema, step: int = 256) -> DataFrame:
     """Applies ``rows(*column_lists) -> {output column: list}`` to slices of ``step`` rows of the given columns.
 
