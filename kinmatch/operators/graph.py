@@ -25,13 +25,14 @@ def new_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder, with its lineage cut: a lost executor costs no more than a read.
 
-    Zstandard keeps its buffers on the heap; Snappy's, outside, wait for a collection of garbage.
+    Zstandard keeps its buffers on the heap; Snappy's, outside, wait for a collection of garbage. Tables of hashes, which
+    nothing compresses, and of numbers that a dictionary holds may go ``uncompressed``.
     """
     path = new_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
