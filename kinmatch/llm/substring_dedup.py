@@ -28,6 +28,7 @@ flagged documents alone, what is looked for. What a pass needs of the one before
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -39,7 +40,8 @@ from pyspark.sql import functions as F
 
 from .bitmaps import bitmap
 from .buckets import Forest, close_pairs, members, met
-from .common import connected_components, stored
+from .common import connected_components
+from .common import stored as stored_table
 
 SHINGLE = 5
 SPAN = 16  # words of a paragraph
@@ -204,7 +206,10 @@ def collisions(df: DataFrame, n_bands: int, band_rows: int) -> DataFrame:
 
 
 def colliding(df: DataFrame, hits, n_bands: int, band_rows: int) -> DataFrame:
-    """(bucket, p, sketch, n) of paragraphs in the buckets of ``hits``; n: 2 if they have more than one place in a slice of texts."""
+    """(bucket, p, sketch, n) of paragraphs in the buckets of ``hits``; n: 2 if they have more than one place in a slice of texts.
+
+    A text that has any gives one row more, with n -1 and its id for p, in a bucket of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for flat in flats(batches):
@@ -217,7 +222,10 @@ def colliding(df: DataFrame, hits, n_bands: int, band_rows: int) -> DataFrame:
             order = np.lexsort((g, p, x))
             x, g, p, sk = x[order], g[order], p[order], sketches(sh)[k][order]
             first = starts(x, p)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x[first], p[first], sk[first], 1 + apart(first, g))], names=["bucket", "p", "sketch", "n"])
+            ids = np.unique(flat.ids[flat.doc[g]])
+            own = mixed(ids.view(np.uint64) * ODD[7]).view(np.int64)
+            columns = ((x[first], own), (p[first], ids), (sk[first], np.zeros(len(ids), np.int64)), (1 + apart(first, g), np.full(len(ids), -1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["bucket", "p", "sketch", "n"])
 
     return df.mapInArrow(run, "bucket long, p long, sketch long, n long")
 
@@ -227,9 +235,9 @@ def folded(part: pa.Table) -> pa.Table:
     if part.num_rows < 2:
         return part
     key, p, sketch, n = (c.to_numpy() for c in part.columns)
-    order = np.lexsort((p, key))
+    order = np.lexsort((n < 0, p, key))
     key, p, sketch, n = key[order], p[order], sketch[order], n[order]
-    at = np.flatnonzero(starts(key, p))
+    at = np.flatnonzero(starts(key, p, n < 0))
     return pa.table([key[at], p[at], sketch[at], np.add.reduceat(n, at)], names=part.column_names)
 
 
@@ -241,11 +249,14 @@ def allowed(similarity: float, size: int) -> int:
 def partnered(most_bits: int, buckets: bool = True):
     """Of the paragraphs of each key those with a partner that the sketches allow (n 1), those with two places (n 2), or both (n 3).
 
-    Equal paragraphs meet in every band: if keys are ``buckets``, those without a partner are told in the first alone.
+    Equal paragraphs meet in every band: if keys are ``buckets``, those without a partner are told in the first alone. Rows
+    of texts (n below 0) go through with n -1.
     """
 
     def work(part: pa.Table) -> dict:
-        key, p, sketch, n = (c.to_numpy() for c in folded(part.select(["key", "p", "sketch", "n"])).columns)
+        part = part.select(["key", "p", "sketch", "n"])
+        texts = part.filter(pa.array(part.column("n").to_numpy() < 0))
+        key, p, sketch, n = (c.to_numpy() for c in folded(part.filter(pa.array(part.column("n").to_numpy() > 0))).columns)
         sketch = sketch.view(np.uint64)
         ones = np.bitwise_count(sketch).astype(np.int64)
         order = np.lexsort((ones, key))
@@ -256,7 +267,8 @@ def partnered(most_bits: int, buckets: bool = True):
             near[i[ok]] = near[j[ok]] = True
         what = near + 2 * (n > 1)
         held = near | ((n > 1) & ((key & 3 == 0) | (not buckets)))
-        return {"key": key[held], "p": p[held], "n": what[held]}
+        own = [texts.column(c).to_numpy() for c in ("key", "p")]
+        return {"key": np.concatenate([key[held], own[0]]), "p": np.concatenate([p[held], own[1]]), "n": np.concatenate([what[held], np.full(len(own[0]), -1)])}
 
     return work
 
@@ -286,7 +298,7 @@ def verified(similarity: float, most_bits: int):
     return work
 
 
-def flagged(df: DataFrame, equal, near) -> DataFrame:
+def flagged(df: DataFrame, equal, near, documents) -> DataFrame:
     """(key, doc, at, size, shingles): flagged paragraphs (size ``SPAN``); shingles looked for about them (size 0); and the
     shingles of paragraphs of ``near`` (size -1).
 
@@ -295,7 +307,7 @@ def flagged(df: DataFrame, equal, near) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for flat in flats(batches):
+        for flat in flats(batches, documents):
             at = flat.paragraphs()
             p = flat.names(at)
             e, h = equal.holds(p), near.holds(p)
@@ -422,13 +434,14 @@ def deduplicate(df: DataFrame, n_bands: int = 3, band_rows: int = 2, similarity:
     first:last words from 0, last exclusive, comma-joined.
     """
     texts = df.select(id_col, text_col)
+    stored = functools.partial(stored_table, compression="uncompressed")
     most_bits = allowed(similarity, WIDTH)
-    hits = bitmap(stored(collisions(texts, n_bands, band_rows)), "bucket")
+    hits = bitmap(stored(collisions(texts, n_bands, band_rows)), "bucket", 64)
     rows = colliding(texts, hits, n_bands, band_rows)
     held = stored(members(rows, ["p", "sketch", "n"], partnered(most_bits), most, stored, ["n"], folded, partnered(most_bits, False)))
-    pairs = held.where("n <> 2")
+    pairs = held.where("n in (1, 3)")
     equal, near = bitmap(held.where("n > 1"), "p", 32), bitmap(pairs, "p")
-    found = stored(flagged(texts, equal, near))
+    found = stored(flagged(texts, equal, near, bitmap(held.where("n < 0"), "p")))
     paragraphs = found.where(f"size = {SPAN}").select("key", "doc", "at", "size")
     # Near-copied paragraphs, verified.
     shingles = found.where("size = -1").groupBy(F.col("key").alias("p")).agg(F.first("shingles").alias("shingles"))
