@@ -170,6 +170,23 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def trigram_square(c: Column) -> Column:
+    """The squared length of a text's trigram counts."""
+    return let(trigrams(c), lambda x: F.aggregate(x, F.lit(0.0), lambda s, g: s + F.size(x) - F.size(F.array_remove(x, g))))
+
+
+def trigram_cosine_of(a: Column, b: Column, square_a: Column, square_b: Column) -> Column:
+    """``trigram_cosine`` of texts whose squared lengths are known: only trigrams that both have are counted."""
+    count = lambda x, g: F.size(x) - F.size(F.array_remove(x, g))
+
+    def cosine(q: Column) -> Column:
+        x, y = q["x"], q["y"]
+        return F.aggregate(F.array_intersect(x, y), F.lit(0.0), lambda s, g: s + count(x, g) * count(y, g)) / (F.sqrt(square_a) * F.sqrt(square_b))
+
+    full = let(F.struct(trigrams(a).alias("x"), trigrams(b).alias("y")), cosine)
+    return F.when((a == "") | (b == ""), F.lit(0.0)).when(a == b, F.lit(1.0)).when((F.length(a) < 3) | (F.length(b) < 3), F.lit(0.0)).otherwise(full)
+
+
 def trigram_cosine(a: Column, b: Column) -> Column:
     """Cosine of trigram counts; equal strings 1, an empty one 0, shorter than 3 only if equal."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.kernels import once
+from ..functions.kernels import once, trigram_cosine_of, trigram_square
 from ..operators import assign, blocking, features, learn, metrics, scoring
 
 
@@ -43,8 +43,12 @@ def minimum(s1: DataFrame, pool: DataFrame, threshold: float = 0.5, most: int =
     """
     keys = F.split(X.clean_legal("name"), " ")
     c = blocking.key_pairs(s1, pool, keys, drop_over=most).select("s1_id", "t_id", "src", "ord").distinct()
-    p = features.join_sides(c, s1, pool)
-    score = F.round(scoring.trigram_score(*(X.clean_legal(x) for x in ("n1", "a1", "n2", "a2"))), 6)
+    # Texts are cleaned and measured once an entity, not once a pair.
+    texts = lambda e, i: e.select(F.col("entity_id").alias(i), X.clean_legal("name").alias(f"n_{i}"), X.clean_legal("addr").alias(f"a_{i}"))
+    side = lambda e, i: texts(e, i).withColumns({f"{k}2_{i}": trigram_square(F.col(f"{k}_{i}")) for k in "na"})
+    p = c.join(side(s1, "s1_id"), "s1_id").join(side(pool, "t_id"), "t_id")
+    cosine = lambda k: trigram_cosine_of(*(F.col(f"{k}{n}_{i}") for n in ("", "2") for i in ("s1_id", "t_id")))
+    score = F.round(0.65 * cosine("n") + 0.35 * cosine("a"), 6)
     scored = ranked_by_s1(p.select("s1_id", "t_id", "src", "ord", once(score).alias("score")), s1)
     return Linkage(c, scored, assign.claims(scored, threshold, ("s1_ord",)))
 
