@@ -38,9 +38,14 @@ def lines(text: str | None, min_chars: int) -> Iterator[tuple[int, str]]:
             yield i, line
 
 
-def line_id(line: str) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(line.encode())
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def line_id(line: str) -> bytes:
+    return xxhash.xxh3_128_digest(line.encode())
+
+
+def halves(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of line ids as whole numbers."""
+    h = np.frombuffer(b"".join(ids), "<i8")
+    return h[::2].copy(), h[1::2].copy()
 
 
 def histograms(raws: list[bytes]) -> np.ndarray:
@@ -76,23 +81,31 @@ def segments(n: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(raw: bytes, n: int, edits: int, min_chars: int) -> tuple[list[int], list[int]]:
-    """Buckets of the line's own segments, and those of substrings that may match a segment of another line.
+@lru_cache(1 << 12)
+def cuts(n: int, edits: int, min_chars: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(start, end, seed), in bytes of four a character, of a line's own segments and of the substrings to probe with.
 
-    raw holds the n characters of the line as four bytes each, so that a substring is a slice.
+    A substring that stands where the line's own segment does is left to that.
     """
-    digest = xxhash.xxh3_64_intdigest
-    own = [digest(raw[4 * p : 4 * (p + k)], n << 4 | i) for i, (p, k) in enumerate(segments(n, edits + 1))]
-    probes = set()
+    own, probes = [(4 * p, 4 * (p + k), n << 4 | i) for i, (p, k) in enumerate(segments(n, edits + 1))], []
     for size in range(max(min_chars, n - edits), n + 1):
         more = n - size
         for i, (p, k) in enumerate(segments(size, edits + 1)):
             low = max(0, p - i, p + more - (edits - i))
             high = min(n - k, p + i, p + more + (edits - i))
-            seed = size << 4 | i
-            for q in range(low, high + 1):
-                probes.add(digest(raw[4 * q : 4 * (q + k)], seed))
-    return own, list(probes.difference(own))
+            probes += [(4 * q, 4 * (q + k), size << 4 | i) for q in range(low, high + 1)]
+    return own, [x for x in probes if x not in own]
+
+
+def signatures(raw: bytes, n: int, edits: int, min_chars: int) -> tuple[list[int], list[int]]:
+    """Buckets of the line's own segments, and those of substrings that may match a segment of another line.
+
+    raw holds the n characters of the line as four bytes each, so that a substring is a slice.
+    """
+    digest = xxhash.xxh3_64_intdigest
+    own, probes = cuts(n, edits, min_chars)
+    own = [digest(raw[a:b], seed) for a, b, seed in own]
+    return own, list({digest(raw[a:b], seed) for a, b, seed in probes}.difference(own))
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -153,35 +166,33 @@ def occurrences(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, place, h1, h2 = [], [], [], []
+            doc, place, ids = [], [], []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for i, line in lines(t, min_chars):
-                    a, b = line_id(line)
                     doc.append(d)
                     place.append(i)
-                    h1.append(a)
-                    h2.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["doc", "place", "h1", "h2"])
+                    ids.append(line_id(line))
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int32()), *map(pa.array, halves(ids))], names=["doc", "place", "h1", "h2"])
 
     return df.select(id_col, text_col).mapInArrow(run, "doc long, place int, h1 long, h2 long")
 
 
 def bucket_rows(df: DataFrame, text_col: str, edits: int, min_chars: int) -> DataFrame:
-    """(bucket, line, size, hist, own) of the distinct lines of each partition; ``own``: a segment of the line itself."""
+    """(bucket, line, hist, size) of the distinct lines of each partition; size is twice the length, plus one at a segment of the line itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 ids, raws, buckets, counts, own_counts = [], [], [], [], []
                 for t in batch.column(0).slice(at, 256).to_pylist():
                     for _, line in lines(t, min_chars):
-                        both = h, _ = line_id(line)
-                        if both in seen:
+                        h = line_id(line)
+                        if h in seen:
                             continue
                         if len(seen) >= 1_000_000:  # bounded; a line met again later is only dealt again
                             seen.clear()
-                        seen.add(both)
+                        seen.add(h)
                         raw = line.encode("utf-32-le")
                         own, probes = signatures(raw, len(raw) // 4, edits, min_chars)
                         ids.append(h)
@@ -193,23 +204,21 @@ def bucket_rows(df: DataFrame, text_col: str, edits: int, min_chars: int) -> Dat
                 if ids:
                     n = np.array(counts)
                     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    columns = [
-                        np.array(buckets, np.uint64).view(np.int64), np.repeat(np.array(ids, np.int64), n), np.repeat(np.array([len(r) // 4 for r in raws], np.int32), n),
-                        np.repeat(histograms(raws).view(np.int64), n), place < np.repeat(np.array(own_counts), n),
-                    ]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "line", "size", "hist", "own"])
+                    size = np.repeat(np.array([len(r) // 4 for r in raws], np.int32) * 2, n) + (place < np.repeat(np.array(own_counts), n))
+                    columns = [np.array(buckets, np.uint64).view(np.int64), np.repeat(halves(ids)[0], n), np.repeat(histograms(raws).view(np.int64), n), size.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "line", "hist", "size"])
 
-    return df.select(text_col).mapInArrow(run, "bucket long, line long, size int, hist long, own boolean")
+    return df.select(text_col).mapInArrow(run, "bucket long, line long, hist long, size int")
 
 
 def partnered(edits: int):
     """Of the rows of a key, those with a partner that length and histogram allow."""
 
     def work(part: pa.Table) -> dict:
-        key, line, size = (part.column(k).to_numpy() for k in ("key", "line", "size"))
-        hist, own = part.column("hist").to_numpy().view(np.uint64), part.column("own").to_numpy()
+        key, line, hist, size = (part.column(k).to_numpy() for k in ("key", "line", "hist", "size"))
         order = np.lexsort((size, key))
-        key, line, size, hist, own = key[order], line[order], size[order].astype(np.int64), hist[order], own[order]
+        key, line, hist, size = key[order], line[order], hist[order].view(np.uint64), size[order].astype(np.int64)
+        size, own = size >> 1, (size & 1).astype(bool)
         held = np.zeros(len(key), bool)
         for i, j in close_pairs(key, size, edits):
             ok = (line[i] != line[j]) & (own[i] | own[j])
@@ -252,17 +261,16 @@ def candidate_texts(df: DataFrame, members: DataFrame, text_col: str, min_chars:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 found = {line_id(line): line for t in batch.column(0).slice(at, 256).to_pylist() for _, line in lines(t, min_chars)}
-                h = np.array([x for x, _ in found], np.int64)
-                keep = np.flatnonzero(marked.holds(h)).tolist()
-                ids, texts = list(found), list(found.values())
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k][0] for k in keep], pa.int64()), pa.array([ids[k][1] for k in keep], pa.int64()), pa.array([texts[k] for k in keep], pa.string())], names=["line", "more", "text"])
+                h1, h2 = halves(list(found))
+                keep, texts = np.flatnonzero(marked.holds(h1)), list(found.values())
+                yield pa.RecordBatch.from_arrays([pa.array(h1[keep]), pa.array(h2[keep]), pa.array([texts[k] for k in keep.tolist()], pa.string())], names=["line", "more", "text"])
 
     return df.select(text_col).mapInArrow(run, "line long, more long, text string").groupBy("line", "more").agg(F.min("text").alias("text"))
 
 
 def links(df: DataFrame, edits: int = 2, min_chars: int = 16, text_col: str = "text", most: int = 2048) -> DataFrame:
     """(a, b): 128-bit hashes, as (h1, h2), of lines within ``edits`` edits, enough to give the classes."""
-    found = members(bucket_rows(df, text_col, edits, min_chars), ["line", "size", "hist", "own"], partnered(edits), most, checkpoint)
+    found = members(bucket_rows(df, text_col, edits, min_chars), ["line", "hist", "size"], partnered(edits), most, checkpoint)
     held = checkpoint(found.distinct())
     texts = candidate_texts(df, held, text_col, min_chars)
     together = held.join(texts, "line").select("key", "line", "more", "text")
