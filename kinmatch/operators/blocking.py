@@ -186,12 +186,23 @@ def hashed_vectors(text: Column, size: int = 64) -> Column:
 def nearest(queries: DataFrame, pool: DataFrame, k: int, by: tuple[str, ...] = ("country", "src"), block: int = 4096) -> DataFrame:
     """Exact (s1_id, t_id, src, score, rank): the k largest inner products of unit vectors in each (country, src).
 
-    queries(country, s1_id, v) meet the pool(country, src, t_id, ord, v) in blocks of ``block`` rows as matrices; each
-    block gives its k best for each query, and the best of those stay. Queries are blocked as well.
+    queries(country, s1_id, v) meet the pool(country, src, t_id, ord, v) in blocks of about ``block`` rows as matrices;
+    each block gives its k best for each query, and the best of those stay. Pairs of blocks are dealt by their numbers,
+    so that a country is as many tasks' work as it has blocks of the pool.
     """
-    salt = lambda df, key: df.withColumn(f"{key}_block", F.floor((F.row_number().over(Window.partitionBy(*[c for c in by if c in df.columns], F.pmod(F.xxhash64(key), F.lit(64))).orderBy(key)) - 1) / block) * 64 + F.pmod(F.xxhash64(key), F.lit(64)))
-    q = salt(queries, "s1_id").groupBy("country", "s1_id_block").agg(F.collect_list(F.struct("s1_id", "v")).alias("q"))  # block rows at most
-    p = salt(pool, "t_id").groupBy(*by, "t_id_block").agg(F.collect_list(F.struct("t_id", "ord", "v")).alias("p"))
+
+    def blocks(df: DataFrame, group: list[str], name: str) -> DataFrame:
+        return df.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("long").alias(name))
+
+    def in_blocks(df: DataFrame, counts: DataFrame, group: list[str], key: str, rows: Column, name: str) -> DataFrame:
+        of = F.pmod(F.xxhash64(key), F.col(f"{name}_blocks")).alias(f"{name}_block")
+        return df.join(counts, group).select(*group, of, rows.alias(name)).groupBy(*group, f"{name}_block").agg(F.collect_list(name).alias(name))  # about block rows
+
+    n_q, n_p = blocks(queries, ["country"], "q_blocks"), blocks(pool, list(by), "p_blocks")
+    q = in_blocks(queries, n_q, ["country"], "s1_id", F.struct("s1_id", "v"), "q")
+    p = in_blocks(pool, n_p, list(by), "t_id", F.struct("t_id", "ord", "v"), "p")
+    number = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{name}_blocks") - 1)).alias(f"{name}_block")
+    deal = n_p.select(*by, number("p")).join(n_q, "country").select(*by, "p_block", number("q"))
 
     def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -205,7 +216,7 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, by: tuple[str, ...] = (
                 out = [(x["s1_id"], ids[order[j]], row.src, ords[order[j]], s[i, j]) for i, x in enumerate(row.q) for j in best[i]]
                 yield pd.DataFrame(out, columns=["s1_id", "t_id", "src", "ord", "score"])
 
-    pairs = q.join(p, "country").select("q", "p", "src").mapInPandas(multiply, "s1_id string, t_id string, src int, ord long, score double")
+    pairs = deal.join(q, ["country", "q_block"]).join(p, [*by, "p_block"]).select("q", "p", "src").mapInPandas(multiply, "s1_id string, t_id string, src int, ord long, score double")
     return top(pairs, k)
 
 
