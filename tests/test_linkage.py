@@ -236,3 +236,22 @@ def test_entry_registers_sql_for_known_queries():
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert "pipeline_minimum" in __spark_entry__.queries()
+
+
+def test_best_by_blocks_are_those_of_all_pairs(spark):
+    """Small blocks, repeated rows, ties, an id with two places, nulls: as the table of all pairs has them."""
+    from kinmatch.functions import text as X
+
+    r = random.Random(9)
+    words = ["acme", "foods", "steel", "north", "river", "12", "77", "560001", "éclair", "a"]
+    make = lambda s, n: [(f"S{s}-{k}", s, r.choice(["X", "Y", None]), " ".join(r.choices(words, k=r.randint(0, 3))) or None, " ".join(r.choices(words, k=2)), k) for k in range(n)]
+    a, b = make(1, 60), make(2, 80) + make(3, 40)
+    s1 = spark.createDataFrame([*a, a[0], ("S1-3", 1, "X", "acme river", "12", 900)], ENTITY)
+    pool = spark.createDataFrame([*b, *b[:9], ("S2-5", 2, "X", "acme north", "12", 901)], ENTITY)
+    text = X.composite(X.clean_legal("name"), X.clean_legal("addr"))
+    columns = ["s1_id", "t_id", "src", "ord", "score", "rank"]
+    for terms, sublinear, most in ((T.char_wb, True, 100_000), (T.char_wb, True, 12), (T.char, False, None)):
+        want = blocking.top(blocking.tfidf_pairs(s1, pool, text, terms, 0.05, sublinear, most), 3).select(columns)
+        got = blocking.tfidf_best(s1, pool, text, 3, terms, 0.05, sublinear, most, block=16)
+        assert sorted(got.select(columns).collect()) == sorted(want.collect())
+        assert want.count() > 100
