@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .bitmaps import bitmap
 from .buckets import Forest, close_pairs, members, met
-from .common import connected_components
+from .common import connected_components, lean
 from .common import stored as stored_table
 
 SHINGLE = 5
@@ -202,7 +202,7 @@ def collisions(df: DataFrame, n_bands: int, band_rows: int) -> DataFrame:
             one = x[first]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([one, one[apart(first, g) > 0]]))], names=["bucket"])
 
-    return df.mapInArrow(run, "bucket long").groupBy("bucket").count().where("count > 1").select("bucket")
+    return df.mapInArrow(lean(run), "bucket long").groupBy("bucket").count().where("count > 1").select("bucket")
 
 
 def colliding(df: DataFrame, hits, n_bands: int, band_rows: int) -> DataFrame:
@@ -227,7 +227,7 @@ def colliding(df: DataFrame, hits, n_bands: int, band_rows: int) -> DataFrame:
             columns = ((x[first], own), (p[first], ids), (sk[first], np.zeros(len(ids), np.int64)), (1 + apart(first, g), np.full(len(ids), -1)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["bucket", "p", "sketch", "n"])
 
-    return df.mapInArrow(run, "bucket long, p long, sketch long, n long")
+    return df.mapInArrow(lean(run), "bucket long, p long, sketch long, n long")
 
 
 def folded(part: pa.Table) -> pa.Table:
@@ -323,7 +323,7 @@ def flagged(df: DataFrame, equal, near, documents) -> DataFrame:
             columns = [pa.array(np.concatenate([p, keys, hp])), pa.array(doc.tolist() + blank, pa.int64()), pa.array(place.tolist() + blank, pa.int64()), pa.array(size), pa.array([None] * (len(p) + len(keys)) + sh, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "at", "size", "shingles"])
 
-    return df.mapInArrow(run, "key long, doc long, at long, size long, shingles binary")
+    return df.mapInArrow(lean(run), "key long, doc long, at long, size long, shingles binary")
 
 
 def offered(df: DataFrame, equal, near, wanted, documents) -> DataFrame:
@@ -344,7 +344,7 @@ def offered(df: DataFrame, equal, near, wanted, documents) -> DataFrame:
             inner[order[starts(key[order])]] = False
             yield pa.RecordBatch.from_arrays([pa.array(c[~inner]) for c in (key, doc, place)], names=["key", "doc", "at"])
 
-    return df.mapInArrow(run, "key long, doc long, at long")
+    return df.mapInArrow(lean(run), "key long, doc long, at long")
 
 
 def intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -423,7 +423,7 @@ def assembled(per_doc: DataFrame, similarity: float) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(v, c) for v, c in zip(out.values(), types, strict=True)], names=list(out))
 
-    return per_doc.select("doc", "places").mapInArrow(run, "doc long, r long, g long, removed string, classes array<long>")
+    return per_doc.select("doc", "places").mapInArrow(lean(run), "doc long, r long, g long, removed string, classes array<long>")
 
 
 def deduplicate(df: DataFrame, n_bands: int = 3, band_rows: int = 2, similarity: float = 0.8, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
