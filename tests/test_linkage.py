@@ -255,3 +255,52 @@ def test_best_by_blocks_are_those_of_all_pairs(spark):
         got = blocking.tfidf_best(s1, pool, text, 3, terms, 0.05, sublinear, most, block=16)
         assert sorted(got.select(columns).collect()) == sorted(want.collect())
         assert want.count() > 100
+
+
+def test_document_entities_take_the_first_words_of_a_text(spark, tmp_path):
+    import re
+
+    texts = ["", None, "  one", " ".join(f"w{k}" for k in range(40)), "«a»-b\n" * 9, "x" * 9000 + " y " + "é" * 30, "é" * 50]
+    spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    for e in tables.document_entities(spark, str(tmp_path)).collect():
+        w = re.findall("[A-Za-z0-9]+", texts[e.ord] or "")
+        assert (e.name, e.addr) == (" ".join(w[:6]), " ".join(w[6:18]))
+
+
+def counting(df, column):
+    """df, and how many of its rows have been worked out."""
+    from pyspark.sql import functions as F
+
+    made = df.sparkSession.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        made.add(1)
+        return x
+
+    return df.withColumn(column, seen.asNondeterministic()(column)), made  # not evaluated again by a filter
+
+
+def test_document_queries_read_the_texts_once(spark, tmp_path, monkeypatch):
+    from kinmatch import queries
+
+    spark.createDataFrame([(k, f"acme w{k // 3} steel", "en") for k in range(30)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = []
+    plain = tables.document_entities
+    monkeypatch.setattr(tables, "document_entities", lambda *a: made.append(counting(plain(*a), "name")) or made[-1][0])
+    assert queries.Q["features_generic"](spark, str(tmp_path)).count() > 0
+    assert [m.value for _, m in made] == [30]
+
+
+def test_plans_that_learn_and_the_audit_work_candidates_out_once(spark):
+    from kinmatch.plans import pipelines
+
+    s1 = spark.createDataFrame([(f"S1-{k}", 1, "X", f"acme w{k}", f"{k} road", k) for k in range(20)], ENTITY)
+    pool = spark.createDataFrame([(f"S2-{k}", 2, "X", f"acme w{k}", f"{k} road", k) for k in range(20)], ENTITY)
+    pairs = [(f"S1-{k}", f"S2-{j}", 2, j, 0.5 + (k == j) / 4) for k in range(20) for j in (k, (k + 1) % 20)]
+    c, made = counting(spark.createDataFrame(pairs, "s1_id string, t_id string, src int, ord long, score double"), "s1_id")
+    truth = spark.createDataFrame([(f"S1-{k}", f"S2-{k}") for k in range(20)], "s1_id string, t_id string")
+    scored = pipelines.trained("method2", c, s1, pool, truth, s1.selectExpr("entity_id as s1_id"), trees=2, depth=2)
+    assert scored.count() == 40 and made.value == 40
+    c, made = counting(c, "t_id")
+    assert blocking.audit(c, truth, 20, 20).first().recall == 1 and made.value == 40
