@@ -304,3 +304,21 @@ def test_plans_that_learn_and_the_audit_work_candidates_out_once(spark):
     assert scored.count() == 40 and made.value == 40
     c, made = counting(c, "t_id")
     assert blocking.audit(c, truth, 20, 20).first().recall == 1 and made.value == 40
+
+
+def test_hashed_vectors_count_the_trigrams_of_each_place(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    df = spark.createDataFrame([("",), ("ab",), *((" ".join(r.choices(["acme", "steel", "é", "12"], k=30)),) for _ in range(600))], "t string").repartition(1).cache()
+    n = F.transform(F.concat(T.char(F.col("t")), F.array(F.lit("#"))), lambda g: F.pmod(F.xxhash64(g), F.lit(64)))
+    step = F.aggregate(n, F.array_repeat(F.lit(0.0), 64), lambda a, k: F.transform(a, lambda x, i: x + F.when(i == k, 1.0).otherwise(0.0)))
+    assert df.limit(200).select(blocking.hashed_vectors(F.col("t")) == blocking.unit(step)).distinct().collect() == [(True,)]
+    took = []
+    for v in (blocking.hashed_vectors(F.col("t")), blocking.K.let(step, blocking.unit)):
+        began = time.time()
+        df.select(F.sum(v[0])).collect()
+        took.append(time.time() - began)
+    assert took[0] < took[1]
