@@ -86,3 +86,30 @@ def test_a_batch_of_partial_ratios_is_worked_out_at_once():
     for x, y in zip(a[:400], b[:400], strict=True):
         K.partial(x, y)
     assert batch < 10 * (time.process_time() - took) / 4
+
+
+def test_kernels_that_share_their_work_equal_single_ones():
+    import random
+
+    import numpy as np
+
+    from kinmatch.functions import batches as B
+
+    r = random.Random(5)
+    text = lambda: " ".join(r.choices(["a", "of", "reedes", "ñandú", "x" * 40, "00077"], k=r.choice([0, 1, 2, 6, 20])))
+    a, b = ([text() for _ in range(300)] for _ in range(2))
+    for names in (tuple(B.KERNELS), ("weighted", "token_set"), ("weighted",)):
+        found = B.together(names, a, b)
+        assert all(np.array_equal(found[name], B.KERNELS[name](a, b)) for name in names)
+
+
+def test_trigram_cosine_of_batches_equals_the_expression(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    text = lambda: "".join(r.choices("aab ñ😀", k=r.choice([0, 1, 2, 3, 9, 30])))
+    df = spark.createDataFrame([(text(), text()) for _ in range(300)], "a string, b string")
+    rows = df.select(K.trigram_cosine(F.col("a"), F.col("b")).alias("x"), K.trigram_cosine_of_batches(F.col("a"), F.col("b")).alias("y")).collect()
+    assert [x.x for x in rows] == [x.y for x in rows] and sum(0 < x.x < 1 for x in rows) > 20

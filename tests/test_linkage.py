@@ -322,3 +322,13 @@ def test_hashed_vectors_count_the_trigrams_of_each_place(spark):
         df.select(F.sum(v[0])).collect()
         took.append(time.time() - began)
     assert took[0] < took[1]
+
+
+def test_features_join_texts_once_and_clean_them_once_an_entity(spark):
+    """Texts went with the pairs through four joins, and each pair was cleaned anew."""
+    from kinmatch.queries import Q
+
+    plan = Q["features_method5"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 4  # keys that are rare, pairs, both sides
+    above, _ = plan.split("Join Inner", 1)
+    assert "regexp_replace" not in above
