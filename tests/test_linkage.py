@@ -332,3 +332,12 @@ def test_features_join_texts_once_and_clean_them_once_an_entity(spark):
     assert plan.count("Join ") == 4  # keys that are rare, pairs, both sides
     above, _ = plan.split("Join Inner", 1)
     assert "regexp_replace" not in above
+
+
+def test_windows_of_version2_take_no_texts(spark):
+    """Both sides' texts were dealt by S1 for the candidate list's context before the kernels read them."""
+    from kinmatch.queries import Q
+
+    plan = Q["features_version2"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.rsplit("Window", 1)
+    assert "pairwise" not in above and "pairwise" in below and "c1#" not in above
