@@ -341,3 +341,11 @@ def test_windows_of_version2_take_no_texts(spark):
     plan = Q["features_version2"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.rsplit("Window", 1)
     assert "pairwise" not in above and "pairwise" in below and "c1#" not in above
+
+
+def test_blocks_are_dealt_as_texts(spark):
+    """Their trigrams took three times the disk."""
+    rows = spark.createDataFrame([(f"S{s}-{k}", s, "US", f"acme w{k} steel", "1 road", k) for s in (1, 2) for k in range(4)], "entity_id string, src int, country string, name string, addr string, ord long")
+    plan = blocking.tfidf_topk(rows.where("src = 1"), rows.where("src = 2"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = [k for k, line in enumerate(plan) if "RepartitionByExpression" in line]
+    assert len(at) == 2 and all("AS terms" in plan[k - 1] for k in at)
