@@ -349,3 +349,12 @@ def test_blocks_are_dealt_as_texts(spark):
     plan = blocking.tfidf_topk(rows.where("src = 1"), rows.where("src = 2"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = [k for k, line in enumerate(plan) if "RepartitionByExpression" in line]
     assert len(at) == 2 and all("AS terms" in plan[k - 1] for k in at)
+
+
+def test_pairs_of_a_country_are_not_dealt(spark):
+    """Each pair was shuffled twice for its texts."""
+    from kinmatch.queries import Q
+
+    df = Q["kernels_native"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("RepartitionByExpression")[0].count("Join ") == 1 and df.count() == df.select("s1_id", "t_id").distinct().count() > 0
