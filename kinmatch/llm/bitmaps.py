@@ -28,6 +28,10 @@ class Bitmap:
             out &= (bits[(k >> np.uint64(3)).view(np.int64)] >> (k & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         return out
 
+    def release(self) -> None:
+        """Deletes it on the driver and all executors, which keep a file each; no plan may use it afterwards."""
+        self.shared.destroy()
+
 
 def bitmap(rows: DataFrame, column: str, per_value: int = 16) -> Bitmap:
     """A bitmap of a long column of a stored table; nulls are left out.

@@ -23,7 +23,8 @@ have 64 bits; one wrong equality alone makes no passage. Rows that repeat an id
 have a row in the result and no class. Ids are integers. Other columns are not read.
 
 Texts are read in four narrow passes: buckets; colliding paragraphs; flagged paragraphs and what they look for; and, of
-flagged documents alone, what is looked for. What a pass needs of the one before is a bitmap of bounded size.
+flagged documents alone, what is looked for. What a pass needs of the one before is a bitmap of bounded size. Tables, bitmaps
+and shuffle files go when what is made from them is stored.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .bitmaps import bitmap
 from .buckets import Forest, close_pairs, members, met
-from .common import connected_components, lean
+from .common import connected_components, lean, remove_stored, shuffles_removed
 from .common import stored as stored_table
 
 SHINGLE = 5
@@ -347,6 +348,16 @@ def offered(df: DataFrame, equal, near, wanted, documents) -> DataFrame:
     return df.mapInArrow(lean(run), "key long, doc long, at long")
 
 
+def holding(more: DataFrame, classes) -> DataFrame:
+    """Those rows of (key, doc, at) whose key may be one of ``classes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(classes.holds(batch.column(0).to_numpy())))
+
+    return more.mapInArrow(lean(run), "key long, doc long, at long")
+
+
 def intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
     return edge[::2], edge[1::2]
@@ -426,31 +437,46 @@ def assembled(per_doc: DataFrame, similarity: float) -> DataFrame:
     return per_doc.select("doc", "places").mapInArrow(lean(run), "doc long, r long, g long, removed string, classes array<long>")
 
 
-def deduplicate(df: DataFrame, n_bands: int = 3, band_rows: int = 2, similarity: float = 0.8, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id, n_repeat_words, n_removed_words, removed) for every row of df.
+def matched(texts: DataFrame, n_bands: int, band_rows: int, similarity: float, most: int) -> DataFrame:
+    """(doc, component, r, g, removed) of texts(id, text) that have passages.
 
-    component_id is the smallest id reachable through shared passages; n_repeat_words counts words in passages that have
-    more than one place, n_removed_words those of them that are not in a class's first; removed lists the latter as
-    first:last words from 0, last exclusive, comma-joined.
+    Tables and bitmaps go as soon as all that is made from them is stored: disk holds what later steps read, not the run.
     """
-    texts = df.select(id_col, text_col)
     stored = functools.partial(stored_table, compression="uncompressed")
     most_bits = allowed(similarity, WIDTH)
-    hits = bitmap(stored(collisions(texts, n_bands, band_rows)), "bucket", 64)
+    buckets = stored(collisions(texts, n_bands, band_rows))
+    hits = bitmap(buckets, "bucket", 64)
+    remove_stored(buckets)
+    kept: list[DataFrame] = []
+
+    def keep(rows: DataFrame) -> DataFrame:
+        kept.append(stored(rows))
+        return kept[-1]
+
     rows = colliding(texts, hits, n_bands, band_rows)
-    held = stored(members(rows, ["p", "sketch", "n"], partnered(most_bits), most, stored, ["n"], folded, partnered(most_bits, False)))
+    held = stored(members(rows, ["p", "sketch", "n"], partnered(most_bits), most, keep, ["n"], folded, partnered(most_bits, False)))
+    hits.release()
+    remove_stored(*kept)
     pairs = held.where("n in (1, 3)")
-    equal, near = bitmap(held.where("n > 1"), "p", 32), bitmap(pairs, "p")
-    found = stored(flagged(texts, equal, near, bitmap(held.where("n < 0"), "p")))
-    paragraphs = found.where(f"size = {SPAN}").select("key", "doc", "at", "size")
+    equal, near, documents = bitmap(held.where("n > 1"), "p", 32), bitmap(pairs, "p"), bitmap(held.where("n < 0"), "p")
+    found = stored(flagged(texts, equal, near, documents))
+    documents.release()
+    paragraphs = stored(found.where(f"size = {SPAN}").select("key", "doc", "at", "size"))
     # Near-copied paragraphs, verified.
     shingles = found.where("size = -1").groupBy(F.col("key").alias("p")).agg(F.first("shingles").alias("shingles"))
     together = pairs.select("key", "p").distinct().join(shingles, "p")
     component = connected_components(met(together, ["p", "shingles"], verified(similarity, most_bits), "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())])))
     # Shingles that are looked for, in flagged documents.
-    documents = bitmap(stored(paragraphs.select("doc").distinct()), "doc")
-    more = stored(offered(texts, equal, near, bitmap(found.where("size = 0"), "key", 8), documents))
-    every = paragraphs.unionByName(more.withColumn("size", F.lit(SHINGLE).cast("long")))
+    wanted = bitmap(found.where("size = 0"), "key", 8)
+    remove_stored(found, held)
+    ids = stored(paragraphs.select("doc").distinct())
+    documents = bitmap(ids, "doc")
+    more = stored(offered(texts, equal, near, wanted, documents))
+    for bits in (equal, near, wanted, documents):
+        bits.release()
+    remove_stored(ids)
+    short = F.lit(SHINGLE).cast("long")
+    every = paragraphs.unionByName(more.withColumn("size", short))
     # Classes of more than one place, each with its first.
     here = F.struct("doc", "at")
     heads = every.groupBy("key").agg(F.min(here).alias("head"), F.max(here).alias("last"))
@@ -460,14 +486,33 @@ def deduplicate(df: DataFrame, n_bands: int = 3, band_rows: int = 2, similarity:
     least = linked.groupBy("component").agg(F.min(F.struct("head", "head_at")).alias("h"))
     linked = linked.select("key", "component").join(least, "component").select("key", F.col("component").alias("name"), "h.head", "h.head_at")
     named = classed.where("component is null").select("key", F.col("key").alias("name"), "head", "head_at").unionByName(linked)
-    places = every.join(named, "key").select("doc", F.struct("at", "size", "head", "head_at", "name").alias("place"))
+    # Most shingles have one place; they stay out of the shuffle. The name counts for paragraphs alone.
+    classes = bitmap(classed, "key")
+    every = paragraphs.unionByName(holding(more, classes).withColumn("size", short))
+    name = F.when(F.col("size") == SPAN, F.col("name")).otherwise(0).alias("name")
+    places = every.join(named, "key").select("doc", F.struct("at", "size", "head", "head_at", name).alias("place"))
     per_doc = places.groupBy("doc").agg(F.collect_list("place").alias("places"))  # a document's own places
     found = stored(assembled(per_doc, similarity))
+    classes.release()
+    remove_stored(paragraphs, more, classed)
     # Documents whose passages hold paragraphs of one class.
     pairs = found.select("doc", F.explode("classes").alias("name"))
     shared = stored(pairs.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least <> last"))
     groups = connected_components(pairs.join(shared, "name").select(F.col("doc").alias("a"), F.col("least").alias("b")))
-    found = found.join(groups, found.doc == groups.node, "left").select("doc", "component", "r", "g", "removed")
+    remove_stored(shared)
+    return found.join(groups, found.doc == groups.node, "left").select("doc", "component", "r", "g", "removed")
+
+
+def deduplicate(df: DataFrame, n_bands: int = 3, band_rows: int = 2, similarity: float = 0.8, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id, n_repeat_words, n_removed_words, removed) for every row of df.
+
+    component_id is the smallest id reachable through shared passages; n_repeat_words counts words in passages that have
+    more than one place, n_removed_words those of them that are not in a class's first; removed lists the latter as
+    first:last words from 0, last exclusive, comma-joined.
+    """
+    texts = df.select(id_col, text_col)
+    with shuffles_removed(df.sparkSession):
+        found = matched(texts, n_bands, band_rows, similarity, most)
     out = df.select(F.col(id_col).alias("_id")).join(found, F.col("_id") == found.doc, "left")
     return out.select(
         F.col("_id").alias(id_col),
