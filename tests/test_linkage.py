@@ -358,3 +358,17 @@ def test_pairs_of_a_country_are_not_dealt(spark):
     df = Q["kernels_native"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.split("RepartitionByExpression")[0].count("Join ") == 1 and df.count() == df.select("s1_id", "t_id").distinct().count() > 0
+
+
+@pytest.mark.parametrize("name", ["method2"])
+def test_plans_give_their_matches(spark, monkeypatch, name):
+    """Their probabilities went out, so that the last stage (claims, a threshold) had no effect."""
+    from kinmatch import queries
+
+    rows = scored(spark, [("a", "2x", 0.9), ("b", "2x", 0.8), ("b", "3y", 0.5), ("c", "3z", 0.4)])
+    take = lambda *a, **how: queries.pipelines.Linkage(rows, rows, assign.claims(rows, 0.5))
+    monkeypatch.setattr(queries.pipelines, name, take)
+    monkeypatch.setattr(queries, "learning", lambda *a: (None,) * 4)
+    monkeypatch.setattr(queries, "dense", lambda *a: (None,) * 2)
+    got = queries.Q[f"pipeline_{name}"](spark, "").collect()
+    assert sorted(map(tuple, got)) == [("a", "2x", 0.9), ("b", "3y", 0.5)]
