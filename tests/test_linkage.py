@@ -360,7 +360,7 @@ def test_pairs_of_a_country_are_not_dealt(spark):
     assert plan.split("RepartitionByExpression")[0].count("Join ") == 1 and df.count() == df.select("s1_id", "t_id").distinct().count() > 0
 
 
-@pytest.mark.parametrize("name", ["method2", "method3", "method4"])
+@pytest.mark.parametrize("name", ["method2", "method3", "method4", "version2"])
 def test_plans_give_their_matches(spark, monkeypatch, name):
     """Their probabilities went out, so that the last stage (claims, a threshold) had no effect."""
     from kinmatch import queries
