@@ -372,3 +372,30 @@ def test_plans_give_their_matches(spark, monkeypatch, name):
     monkeypatch.setattr(queries, "dense", lambda *a: (None,) * 2)
     got = queries.Q[f"pipeline_{name}"](spark, "").collect()
     assert sorted(map(tuple, got)) == [("a", "2x", 0.9), ("b", "3y", 0.5)]
+
+
+def test_sparse_candidates_are_those_of_all_pairs_without_a_table_of_them(spark):
+    """The table of all pairs of a common term was shuffled."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(12)
+    words = ["acme", "foods", "steel", "north", "river", "12", "77", "560001", *(f"w{k}" for k in range(60))]
+    make = lambda s, n: [(f"S{s}-{k}", s, r.choice(["X", "Y", None]), " ".join(r.choices(words, k=r.randint(0, 3))) or None, " ".join(r.choices(words, k=2)), k) for k in range(n)]
+    a, b = make(1, 90), make(2, 120) + make(3, 60)
+    s1 = spark.createDataFrame([*a, a[0], ("S1-3", 1, "X", "acme w5", "12", 900)], ENTITY)
+    pool = spark.createDataFrame([*b, *b[:9], ("S2-5", 2, "X", "acme w5 north", "12", 901)], ENTITY)
+    text = blocking.X.blocking_text(blocking.X.name_v2("name"), blocking.X.address_v2("addr"))
+    q, p = blocking.docs(s1, text, True), blocking.docs(pool, text, True)
+    tf = [T.frequencies(d, T.word_pairs(blocking.F.col("text")), True) for d in (q, p)]
+    vocab = T.vocabulary(tf[0].unionByName(tf[1]), q.unionByName(p), 2, 30)
+    columns = ["s1_id", "t_id", "src", "ord", "score", "rank"]
+    want = blocking.top(blocking.product(T.weights(tf[0], vocab), T.weights(tf[1], vocab), 0.1), 4, ("s1_id",)).select(columns)
+    got = blocking.sparse(s1, pool, 4, 30)
+    assert sorted(got.select(columns).collect()) == sorted(want.collect()) and want.count() > 100
+    assert "wq#" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+    terms = lambda n: pa.table({"id": [f"{k % 37}" for k in range(n)], "ord": list(range(n)), "terms": [r.choices(words, k=3) for _ in range(n)]})
+    left, right = (blocking.Postings(terms(50), pa.array(words), np.ones(len(words)), False) for _ in "ab")
+    whole, cut = (pa.concat_tables(blocking.best_by_products(left, right, 0, 3, 0.1, most)) for most in (1 << 20, 9))
+    assert whole.equals(cut) and whole.num_rows > 50
