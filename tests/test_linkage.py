@@ -399,3 +399,28 @@ def test_sparse_candidates_are_those_of_all_pairs_without_a_table_of_them(spark)
     left, right = (blocking.Postings(terms(50), pa.array(words), np.ones(len(words)), False) for _ in "ab")
     whole, cut = (pa.concat_tables(blocking.best_by_products(left, right, 0, 3, 0.1, most)) for most in (1 << 20, 9))
     assert whole.equals(cut) and whole.num_rows > 50
+
+
+def test_best_by_jaccard_are_those_of_all_pairs_without_a_table_of_them(spark):
+    """The table of all pairs of a common shingle was shuffled."""
+    import pyarrow as pa
+
+    r = random.Random(13)
+    words = ["acme", "foods", "steel", "north", "river", "12", "77", *(f"w{k}" for k in range(40))]
+    make = lambda s, n: [(f"S{s}-{k}", s, r.choice(["X", "Y", None]), " ".join(r.choices(words, k=r.randint(0, 3))) or None, " ".join(r.choices(words, k=3)), k // 2) for k in range(n)]
+    s1, pool = spark.createDataFrame(make(1, 90), ENTITY), spark.createDataFrame(make(2, 150) + make(3, 60), ENTITY)
+    keys, columns = blocking.shingles(), ["s1_id", "t_id", "src", "ord", "score", "rank"]
+    common = blocking.key_pairs(s1, pool, keys, keep_first=6).groupBy("s1_id", "t_id", "src", "ord").count()
+    sets = lambda e, i: e.select(blocking.F.col("entity_id").alias(i), keys.alias(f"set_{i}"))
+    found = common.join(sets(s1, "s1_id"), "s1_id").join(sets(pool, "t_id"), "t_id")
+    want = blocking.top(found.selectExpr("s1_id", "t_id", "src", "ord", "round(count / size(array_union(set_s1_id, set_t_id)), 6) as score").where("score >= 0.1"), 2)
+    for block in (16, 32768):
+        got = blocking.jaccard_best(s1, pool, keys, 6, 2, 0.1, block)
+        assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect()) and want.count() > 100
+    plan = blocking.dual_index(s1, pool)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_union" not in plan and plan.count("flatMapCoGroupsInArrow") + plan.count("FlatMapCoGroupsInArrow") == 2
+
+    table = lambda n: pa.table({"id": [f"{k}" for k in range(n)], "ord": list(range(n)), "keys": [r.sample(words, k=3) for _ in range(n)]})
+    a, b = table(50), table(40)
+    whole, cut = (pa.concat_tables(blocking.best_by_jaccard(a, b, b.slice(0, 0), 2, 3, 0.1, most)) for most in (1 << 20, 5))
+    assert whole.equals(cut) and whole.num_rows > 50
