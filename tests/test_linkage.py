@@ -424,3 +424,12 @@ def test_best_by_jaccard_are_those_of_all_pairs_without_a_table_of_them(spark):
     a, b = table(50), table(40)
     whole, cut = (pa.concat_tables(blocking.best_by_jaccard(a, b, b.slice(0, 0), 2, 3, 0.1, most)) for most in (1 << 20, 5))
     assert whole.equals(cut) and whole.num_rows > 50
+
+
+def test_rule_scores_clean_texts_once_an_entity(spark):
+    """Each pair was cleaned anew, and its names were taken apart by three kernels of their own."""
+    from kinmatch.queries import Q
+
+    plan = Q["score_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, _ = plan.split("Join Inner", 1)
+    assert "regexp_" not in above and above.count("pairwise(") == 3
