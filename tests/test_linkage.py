@@ -433,3 +433,12 @@ def test_rule_scores_clean_texts_once_an_entity(spark):
     plan = Q["score_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above, _ = plan.split("Join Inner", 1)
     assert "regexp_" not in above and above.count("pairwise(") == 3
+
+
+def test_kernels_of_a_pair_share_their_work(spark):
+    """Five kernels took the names from the pairs one after another."""
+    from kinmatch.queries import Q
+
+    df = Q["kernels_udf"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("pairwise(") == 1
+    assert df.columns == ["s1_id", "t_id", "ratio", "token_sort", "token_set", "partial", "weighted"]
