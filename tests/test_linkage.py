@@ -442,3 +442,12 @@ def test_kernels_of_a_pair_share_their_work(spark):
     df = Q["kernels_udf"](spark, "/root/testdata/sf0.001")
     assert df._jdf.queryExecution().optimizedPlan().toString().count("pairwise(") == 1
     assert df.columns == ["s1_id", "t_id", "ratio", "token_sort", "token_set", "partial", "weighted"]
+
+
+def test_words_of_addresses_are_taken_once_an_entity(spark):
+    """Each pair split both addresses anew, and looked for common words three times."""
+    from kinmatch.queries import Q
+
+    plan = Q["kernels_native"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner", 1)
+    assert "split(" not in above and "split(" in below and above.count("array_intersect(") == 1 and "array_union(" not in above
