@@ -113,3 +113,14 @@ def test_trigram_cosine_of_batches_equals_the_expression(spark):
     df = spark.createDataFrame([(text(), text()) for _ in range(300)], "a string, b string")
     rows = df.select(K.trigram_cosine(F.col("a"), F.col("b")).alias("x"), K.trigram_cosine_of_batches(F.col("a"), F.col("b")).alias("y")).collect()
     assert [x.x for x in rows] == [x.y for x in rows] and sum(0 < x.x < 1 for x in rows) > 20
+
+
+def test_combed_windows_equal_those_looked_into():
+    """Windows of long texts were looked into one by one."""
+    import random
+
+    r = random.Random(8)
+    for n, m, letters in ((1, 1, "a"), (1, 9, "ab"), (7, 7, "abc"), (30, 90, "abcé "), (300, 420, "abcdefgh "), (257, 900, "ab")):
+        for _ in range(4):
+            a, b = ("".join(r.choices(letters, k=k)) for k in (n, m))
+            assert K.best_window_combed(a, b) == K.best_window(a, b)

@@ -451,3 +451,23 @@ def test_words_of_addresses_are_taken_once_an_entity(spark):
     plan = Q["kernels_native"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Join Inner", 1)
     assert "split(" not in above and "split(" in below and above.count("array_intersect(") == 1 and "array_union(" not in above
+
+
+def test_method5_takes_whole_texts(spark, tmp_path, monkeypatch):
+    """Of each text 18 words were looked at."""
+    from kinmatch import queries
+
+    texts = [" ".join(f"w{k}" for k in range(40)), None, "one", " ".join(f"w{k}" for k in range(30))]
+    spark.createDataFrame([(3 * k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    monkeypatch.setattr(queries.pipelines, "method5", lambda s1, *a, **how: seen.append(s1) or queries.pipelines.Linkage(*[spark.createDataFrame([], "s1_id string, t_id string, score double")] * 3))
+    queries.Q["pipeline_method5"](spark, str(tmp_path))
+    got = {e.ord: f"{e.name} {e.addr}".strip() for e in seen[0].collect()}
+    assert got == {3 * k: t or "" for k, t in enumerate(texts)}
+
+
+def test_trigrams_of_long_texts(spark):
+    text = "".join(random.Random(4).choices("ab é\U0001f600", k=700))
+    df = spark.createDataFrame([(text,), (text[:512],), (text[:513],)], "t string")
+    for t, g in df.select("t", T.grams(blocking.F.col("t"))).collect():
+        assert g == [t[k : k + 3] for k in range(len(t) - 2)]
