@@ -124,3 +124,31 @@ def test_combed_windows_equal_those_looked_into():
         for _ in range(4):
             a, b = ("".join(r.choices(letters, k=k)) for k in (n, m))
             assert K.best_window_combed(a, b) == K.best_window(a, b)
+
+
+def test_kernels_of_products_equal_the_plain_ones():
+    """All pairs of two lists, and some of them, with repeats, empty and long first texts: the very same values."""
+    import random
+
+    import numpy as np
+
+    from kinmatch.functions import batches as B
+    from kinmatch.functions import products as P
+
+    r = random.Random(9)
+    words = ["a", "of", "reedes", "ñandú", "汉字", "x" * 12, "Onsh", "00077", "12", "\x00", "😀", "of of"]
+    text = lambda: r.choice(["", " "]) + " ".join(r.choices(words, k=r.choice([0, 1, 2, 3, 6])))
+    short = lambda: "".join(r.choices("ab c", k=r.randint(0, 14)))
+    for make, more in ((text, ["z" * 64, "y" * 63 + "z", "ab" * 32]), (short, ["ab" * 8, "b" * 16]), (lambda: short() + short(), ["c" * 32])):
+        b = [t for t in (make() for _ in range(80)) if len(t) <= P.LONGEST] + more
+        a = [make() for _ in range(60)] + ["z" * 70, "zy" * 150, "ab" * 33] + b[:10] + more
+        x, y = (list(t) for t in zip(*((s, t) for s in a for t in b), strict=True))
+        for f in (P.common_lengths, P.ratio, P.token_sort, P.jaro_winkler):
+            plain = B.common_length if f is P.common_lengths else getattr(B, f.__name__)
+            assert np.array_equal(f(a, b).ravel(), plain(x, y)), f.__name__
+        for step in (1, 23):  # by a matrix, and by pairs
+            i, j = np.divmod(np.arange(0, len(x), step), len(b))
+            u, v = x[::step], y[::step]
+            assert np.array_equal(P.common_of(a, b, i, j), B.common_length(u, v)) and np.array_equal(P.ratio_of(a, b, i, j), B.ratio(u, v))
+            assert np.array_equal(P.token_set_of(a, b, i, j), B.token_set(u, v))
+            assert np.array_equal(P.weighted_of(a, b, i, j, B.token_sort(u, v)), B.weighted(u, v))

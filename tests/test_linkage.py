@@ -435,6 +435,64 @@ def test_rule_scores_clean_texts_once_an_entity(spark):
     assert "regexp_" not in above and above.count("pairwise(") == 3
 
 
+def test_rule_scores_of_blocks_are_those_of_pairs(spark, tmp_path):
+    """Each pair went to Spark's workers on its own with all its texts. Long texts of S2 still do."""
+    from pyspark.sql import functions as F
+
+    from kinmatch.operators import scoring
+    from kinmatch.queries import Q, same_country
+
+    r = random.Random(14)
+    words = ["acme", "foods", "Ltd", "société", "汉字", "0042", "12345", "the", "#", "\u3390", "north"]
+    name = lambda k: r.choice([None, "", "Supplier#%09d" % k, "Customer#%09d" % (k % 7), " ".join(r.choices(words, k=r.choice([1, 2, 3, 25])))])
+    table = lambda n, columns, *more: spark.createDataFrame([(k, k % 3, name(k), *(r.choice(x) for x in more)) for k in range(n)], columns)
+    table(60, "s_suppkey long, s_nationkey int, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    table(150, "c_custkey long, c_nationkey int, c_name string, c_mktsegment string", ["BUILDING", "AUTOMOBILE 98765", "é" * 9, "long " * 12]).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "a", "b", "c")], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(0, "FRANCE"), (1, "PERU"), (2, None)], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    pairs = same_country(spark, str(tmp_path), texts=scoring.gate_texts)
+    want = sorted(map(tuple, scoring.gated_score(pairs, True).select("s1_id", "t_id", F.round("rule_score", 6)).collect()))
+    got = Q["score_rules"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 2000 and sum(x[2] > 0 for x in want) > 100
+    assert 0 < same_country(spark, str(tmp_path), only=scoring.long_texts).count() < 1500
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rule_scores_do_not_depend_on_the_size_of_blocks(monkeypatch):
+    import pyarrow as pa
+
+    from kinmatch.operators import scoring
+
+    r = random.Random(16)
+    words = ["acme", "foods", "0042", "12345", "north", "river"]
+    text = lambda: " ".join(r.choices(words, k=r.choice([0, 1, 2, 3])))
+    rows = [{"src": 1 + k % 2, "id": f"{k}", "c": text(), "d": text(), "pin": r.choice([None, "", "12345", "0"]), "num": r.choices(words[2:4], k=r.choice([0, 1, 2]))} for k in range(100)]
+
+    def scores() -> dict:
+        found = [x for t in scoring.meet(iter([pa.RecordBatch.from_pylist(rows[:70]), pa.RecordBatch.from_pylist(rows[70:])])) for x in t.to_pylist()]
+        pairs = [(s, t, x["score"][k * len(x["t"]) + n]) for x in found for k, s in enumerate(x["s1"]) for n, t in enumerate(x["t"])]
+        assert all(len(x["score"]) == len(x["s1"]) * len(x["t"]) for x in found)
+        return sorted(pairs)
+
+    whole = scores()
+    for module, name, size in ((scoring, "BLOCK", 90), (scoring, "SOME", 7), (scoring, "ROW", 30), (scoring.P, "COLUMNS", 11)):
+        monkeypatch.setattr(module, name, size)
+        assert scores() == whole
+    assert len(whole) == 2500 and len({x[2] for x in whole}) > 50
+
+
+def test_rounded_as_spark_does(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from kinmatch.operators import scoring
+
+    r = random.Random(15)
+    values = [r.random() for _ in range(300)] + [k / 1e7 for k in r.choices(range(5, 10**7, 10), k=300)] + [0.1 + 0.0000005 + k / 1e3 for k in range(300)] + [0.0, 1.0]
+    want = [x[0] for x in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(F.round("v", 6)).collect()]
+    assert scoring.rounded(np.array(values)).tolist() == want
+
+
 def test_kernels_of_a_pair_share_their_work(spark):
     """Five kernels took the names from the pairs one after another."""
     from kinmatch.queries import Q
